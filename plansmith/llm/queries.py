@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plansmith.llm.decontaminate import OP4_SQL, op4_decontamination
 from plansmith.llm.language_id import op3_language_id
 from plansmith.llm.ngram_join import op9_ngram_join
 from plansmith.llm.packing import op2_best_fit_packing
@@ -9,7 +10,7 @@ from plansmith.llm.suffix_dedup import op10_suffix_dedup
 from plansmith.llm.token_counts import op6_token_counts
 from plansmith.llm.token_files import op7_token_files
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_language_id, op6_token_counts, op7_token_files, op9_ngram_join, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_language_id, op4_decontamination, op6_token_counts, op7_token_files, op9_ngram_join, op10_suffix_dedup)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL}
