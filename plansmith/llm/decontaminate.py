@@ -194,9 +194,9 @@ def blocks_of(benchmark: DataFrame, window: int, item: str = "item_id", text: st
         yield Block.of(rows, window)
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW, cleaned: str | None = None) -> DataFrame:
     """The columns ``keep`` of every row with n_words, n_hit (words inside occurrences), n_items, items_sha256, contaminated and spans (word places
-    from, to of the merged spans, sorted).
+    from, to of the merged spans, sorted). cleaned: a column for the text without the spans.
 
     Null and empty texts have no words and aren't contaminated; items that repeat count once. Rows stay as they are, nothing is shuffled.
     """
@@ -250,10 +250,12 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, keep: list[str], text: st
             n_hit = hit[begin + n] - hit[begin]
             digest = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
             new = [pa.array(n), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digest), pa.array(n_hit > 0), pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+            if cleaned:
+                new.append(pa.array([without_spans(t, s) if s else t for t, s in zip(batch.column(0).to_pylist(), spans, strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *[cleaned] * bool(cleaned)])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:]]
-    return frame.mapInArrow(run, ", ".join([*fields, "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<from:int,to:int>>"]))
+    return frame.mapInArrow(run, ", ".join([*fields, "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<from:int,to:int>>", *[f"`{cleaned}` string"] * bool(cleaned)]))
 
 
 def without_spans(text: str, spans) -> str:

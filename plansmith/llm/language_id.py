@@ -162,13 +162,13 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """Adds lang_pred, score (the probability of the prediction, 0 where there is none) and rejected (below the threshold, or ``und``).
 
     A null text or one without a letter gets ``und``. keep: the columns to carry (all); one with a name of the new ones is replaced.
     """
     prepare(df.sparkSession)
-    carry = [c for c in keep or df.columns if c not in ("lang_pred", "score", "rejected")]
+    carry = [c for c in keep or df.columns if c not in names]
     frame = df.select(F.col(text).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in carry])
     shared = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size: buckets x dimensions
 
@@ -180,15 +180,15 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             texts = [t or "" for t in batch.column(0).to_pylist()]
             clean = [t.encode().translate(LETTERS) for t in texts]
             known = np.array([bool(c.strip()) and (c.isascii() or has_letter(t)) for c, t in zip(clean, texts, strict=True)]) & bool(m.languages)
-            names, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            found, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if known.any():
                 p = m.probabilities([c for c, k in zip(clean, known, strict=True) if k])
-                names[known], score[known] = np.array(m.languages, object)[p.argmax(1)], p.max(1)
+                found[known], score[known] = np.array(m.languages, object)[p.argmax(1)], p.max(1)
             rejected = ~known | (score < m.threshold)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [*carry, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string()), pa.array(score), pa.array(rejected)], [*carry, *names])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:]]
-    return frame.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", "rejected boolean"]))
+    return frame.mapInArrow(run, ", ".join([*fields, f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean"]))
 
 
 def held_out(key: str = "doc_id", parts: int = 4, part: int = 2):
