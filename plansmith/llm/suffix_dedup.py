@@ -7,7 +7,7 @@ A byte goes if a string of ``length`` bytes over it starts anywhere else too. Wh
    its different anchor strings, packed by bucket; buckets answer with those that occur twice.
 2. Corpus order. The windows that are left, a small and highly repetitive part of the text, go through prefix-free parsing: rolling-hash
    triggers cut phrases that overlap by a trigger; the suffix array of the dictionary of different phrases and the suffix array of the parse
-   combine into the order of all windows, where equal ones are neighbours. Each shard sends one hash for every different window, and
+   combine into the order of a block's windows, where equal ones are neighbours. Each shard sends one hash for every different window, and
    buckets answer with those that occur once.
 3. Each shard marks its repeated windows, joins their spans and cuts them out.
 """
@@ -25,7 +25,7 @@ from plansmith.llm.pretokens import mixed
 
 LENGTH = 200
 #: Bytes of text in a shard (longer texts alone make it larger), bytes handled at once.
-SHARD, BLOCK = 12 << 20, 1 << 20
+SHARD, BLOCK = 8 << 20, 1 << 20
 #: Bytes of a trigger; every so many-th hash is one; bytes up to which suffixes of phrases are compared.
 TRIGGER, EVERY = 16, 64
 
@@ -278,8 +278,17 @@ def repeated(df: DataFrame, text: str = "text", length: int = LENGTH, with_text:
     first = texts.mapInArrow(contexts, PACKED).groupBy("bucket").applyInArrow(_answers(True), ANSWER)
 
     def windows(key, rows, answers):
-        known, keep, hashes = _answered(answers, 1), [], []
+        known, keep, hashes, done = _answered(answers, 1), [], [], []
         _, found, _ = _texts_of(rows)
+
+        def order():
+            ends = np.cumsum([len(x) for x in keep])
+            runs = np.diff(np.append(0, ends)) - length + 1
+            at = np.repeat(ends - np.cumsum(runs) - length + 1, runs) + np.arange(runs.sum())
+            done.append(different(np.concatenate(keep), ends, at, np.concatenate(hashes), length))
+            keep.clear()
+            hashes.clear()
+
         for _, data, ends in blocks(found):
             at, number, keys, w = anchor_keys(data, ends, length)
             left = at[_member(keys, known)[number]] if len(at) else at
@@ -289,12 +298,16 @@ def repeated(df: DataFrame, text: str = "text", length: int = LENGTH, with_text:
             a, b = left[cut], left[np.append(cut[1:], len(left)) - 1] + length
             keep += [data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             hashes.append(w.hashes(left, length))
-        if not keep:
+            if sum(map(len, keep)) > BLOCK:
+                order()
+        if keep:
+            order()
+        if not done:
             return _packed(0, np.empty(0, np.uint64), np.empty(0, bool), count)
-        ends = np.cumsum([len(x) for x in keep])
-        runs = np.diff(np.append(0, ends)) - length + 1
-        at = np.repeat(ends - np.cumsum(runs) - length + 1, runs) + np.arange(runs.sum())
-        return _packed(key[0].as_py(), *different(np.concatenate(keep), ends, at, np.concatenate(hashes), length), count)
+        h, inverse, n = np.unique(np.concatenate([x for x, _ in done]), return_inverse=True, return_counts=True)
+        twice = n > 1
+        twice[inverse[np.concatenate([t for _, t in done])]] = True
+        return _packed(key[0].as_py(), h, twice, count)
 
     second = texts.groupBy("shard").cogroup(first.groupBy("shard")).applyInArrow(windows, PACKED)
     once = second.groupBy("bucket").applyInArrow(_answers(False), ANSWER)
