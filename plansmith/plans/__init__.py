@@ -1,0 +1 @@
+"""Analytics of database execution plans."""
