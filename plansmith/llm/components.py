@@ -42,7 +42,7 @@ def _contract(batches):
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node with a link to another; root is the component's smallest node. Nulls and links to oneself don't count."""
+    """(node, root) for every linked node but the roots; a root is its component's smallest node. Nulls and links to oneself don't count."""
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     edges = cut(edges.mapInArrow(_contract, "u bigint, v bigint"))
     if not edges.head(1):
