@@ -43,10 +43,10 @@ def build(x: np.ndarray, members: np.ndarray | None = None, reach: float = 2.0,
     while reach / 2 >= node.radius:
         reach /= 2
     left, next_centre = np.ones(len(members), bool), int(np.flatnonzero(members == centre)[0])
+    close = own @ own.T >= 1 - reach * reach / 8 if len(members) <= 2 * BLOCK else None  # at most reach / 2 apart
     while True:  # nested: the node's centre is its first child's
-        rest = np.flatnonzero(left)
-        near = rest[_distance(own[rest] @ own[next_centre]) <= reach / 2]
-        near = np.union1d(near, [next_centre])
+        row = close[next_centre] if close is not None else own @ own[next_centre] >= 1 - reach * reach / 8
+        near = np.union1d(np.flatnonzero(row & left), [next_centre])
         left[near] = False
         node.children.append(build(x, members[near], reach / 2, int(members[next_centre])))
         if not left.any():
