@@ -7,6 +7,7 @@ import plansmith.functions.sql_text
 import plansmith.operators
 import plansmith.plans.optimizer
 import plansmith.plans.queries
+import plansmith.plans.rewrite
 import plansmith.sources.plan_files  # noqa: F401
 from plansmith.registry import ORACLE, QUERIES
 
