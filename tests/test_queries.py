@@ -3,6 +3,7 @@
 import pytest
 from oracle import DATA, duck, rows_of
 
+import plansmith.functions.procedures
 import plansmith.functions.sql_text
 import plansmith.operators
 import plansmith.plans.optimizer
