@@ -1,13 +1,14 @@
 """N-gram Jaccard join by T-occurrence search with the DivideSkip split into short and long lists.
 
 A document's set holds the hashes of its distinct word shingles, ordered from short inverted lists to long ones: first by hash, the tokens
-that the corpus counts as frequent last. A partner must occur on at least T of a document's n lists, T = ceil(t n) or more for a threshold
+that a count of the whole corpus calls frequent last. A partner must occur on at least T of a document's n lists, T = ceil(t n) or more for a threshold
 t. DivideSkip sets T - 1 lists aside as long, so a partner occurs on one of the n - T + 1 short ones: only these are merged, and the long
 ones are probed by binary search for what the merge has found.
 
 Merging is an exchange: postings of the short lists meet by token, sorted, and each list gives the pairs whose sizes and places in both
-orders still allow the overlap. Large groups of near copies would meet on every list; before the merge, min-hash leaders link what they can
-(verified too), and documents that are connected already aren't paired again. That drops no link that matters to the components.
+orders still allow the overlap. Large groups of near copies would meet on every list; before the merge, min-hash groups link to a leader,
+the member with the fewest rare tokens and so the likely original (verified too), and documents that are connected already aren't paired
+again. That drops no link that matters to the components.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from plansmith.llm.pretokens import mixed, span_hashes
 
 WORDS, SIMILAR = 4, 85
 BYTES = 1 << 20
-#: A token on more short lists' postings than this is frequent; so many of the most frequent ones go to every worker (8 bytes each).
-FREQUENT, MOST_FREQUENT = 64, 1 << 19
+#: A token is frequent if its counters are over this and four times their mean; bits of a counter's place; counters that are added up together.
+FREQUENT, SLOT_BITS, BLOCK = 64, 22, 1 << 16
 #: Min-hash leaders of each document, and bits of the map (one 8 MB array) that thins out what is sent to be verified.
 LEADERS, MAP_BITS = 4, 26
+#: Bits of a set's sketch.
+SKETCH = 1024
 #: Pairs that a list gives at once.
 PAIRS = 1 << 18
 #: A-Z to a-z, white space (0x20, 0x09-0x0D) to blanks.
@@ -78,6 +81,14 @@ def fingerprints(tokens: np.ndarray, sizes: np.ndarray, seeds: int) -> list[np.n
     return out
 
 
+def sketches(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bit maps of sets: each token turns over one of SKETCH bits. Two sets differ in at least as many tokens as their maps in bits."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    bit = (tokens >> np.uint64(20)).astype(np.int64) % SKETCH
+    odd = (np.bincount(row * SKETCH + bit, minlength=len(sizes) * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sizes), SKETCH), axis=1).view(np.int64)
+
+
 def needed(x, y, similar: int):
     """The least overlap of sets of x and y with 100 * overlap >= similar * union."""
     return -(-similar * (x + y) // (100 + similar))
@@ -92,9 +103,11 @@ def _texts(df: DataFrame, text: str, *more) -> DataFrame:
     return df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"), *more)
 
 
-def _summaries(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """key, n, set (fingerprint of the set), m1.. (min-hashes) of each row."""
-    frame = _texts(df, text, F.col(key))
+def _summaries(df: DataFrame, key: str, text: str, words: int, frequent: np.ndarray) -> DataFrame:
+    """key, n, set (fingerprint of the set), m1.. (min-hashes), sketch, rare (per mille of tokens that aren't frequent), at (hash of the text)
+    of each row."""
+    frame = _texts(df, text, F.col(key)).withColumn("at", F.xxhash64("__text"))
+    shared = df.sparkSession.sparkContext.broadcast(frequent)  # of a fixed size
 
     def run(batches):
         import pyarrow as pa
@@ -102,33 +115,73 @@ def _summaries(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
         for batch in in_pieces(batches, 0, BYTES):
             tokens, sizes = shingles(batch.column(0).to_pylist(), words)
             marks = fingerprints(tokens, sizes, LEADERS)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes), *map(pa.array, marks)], [key, "n", "set", *names])
+            sketch = pa.array(sketches(tokens, sizes).tolist(), pa.list_(pa.int64()))
+            rare = np.bincount(np.repeat(np.arange(len(sizes)), sizes), ~_is_frequent(tokens, shared.value), len(sizes)) * 1000 // np.maximum(sizes, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes), *map(pa.array, marks), sketch, pa.array(rare.astype(np.int64)), batch.column(2)], [key, "n", "set", *names, "sketch", "rare", "at"])
 
     names = [f"m{k}" for k in range(LEADERS)]
     kind = frame.schema.fields[1].dataType.simpleString()
-    return frame.mapInArrow(run, f"`{key}` {kind}, n bigint, set bigint, " + ", ".join(f"{m} bigint" for m in names))
+    return frame.mapInArrow(run, f"`{key}` {kind}, n bigint, set bigint, " + ", ".join(f"{m} bigint" for m in names) + ", sketch array<bigint>, rare bigint, at bigint")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Pairs whose sizes and sketches allow the similarity, with the hashes of their texts."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("set").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"), F.col("at").alias(f"at{side}")), side)
+    apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
+    least = F.ceil(F.lit(similar) * (F.col("na") + F.col("nb")) / (100 + similar) - F.lit(1e-9))
+    return pairs.where((F.least("na", "nb") * 100 >= similar * F.greatest("na", "nb")) & (apart <= F.col("na") + F.col("nb") - 2 * least)).select("a", "b", "ata", "atb")
+
 
+def _slots(tokens: np.ndarray) -> list[np.ndarray]:
+    """A token's counter in each row of the sketch."""
+    return [(tokens >> np.uint64(shift)).astype(np.int64) & ((1 << SLOT_BITS) - 1) for shift in (2, 38)]
 
-def _frequent(df: DataFrame, text: str, words: int, similar: int) -> np.ndarray:
-    """The tokens that are on most short lists of all documents, sorted; at most MOST_FREQUENT."""
+
+def _frequent(df: DataFrame, text: str, words: int) -> np.ndarray:
+    """Which counters of a count-min sketch of all tokens of all documents are high: 2 rows of bits, of a fixed size.
+
+    A token is frequent if both its counters are. The sketch never counts too little, so no frequent token is missed; one taken for frequent by
+    chance only comes later in the order of lists, the same for all documents.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        counters = np.zeros((2, 1 << SLOT_BITS), np.int32)
         for batch in in_pieces(batches, 0, 4 * BYTES):
-            tokens, sizes = shingles(batch.column(0).to_pylist(), words)
-            place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            found, n = np.unique(tokens[place < np.repeat(short_lists(sizes, similar), sizes)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["token", "n"])
+            for row, slots in enumerate(_slots(shingles(batch.column(0).to_pylist(), words)[0])):
+                counters[row] += np.bincount(slots, minlength=1 << SLOT_BITS).astype(np.int32)
+        if counters.any():
+            for at, part in enumerate(counters.reshape(-1, BLOCK)):
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([pa.compress(part.tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["block", "n"])
+
+    def add(key, rows):
+        import pyarrow as pa
+
+        total = np.zeros(BLOCK, np.int64)
+        for x in rows["n"].to_pylist():
+            total += np.frombuffer(pa.decompress(x, BLOCK * 4, codec="zstd", asbytes=True), np.int32)
+        high = np.packbits(total > FREQUENT + 4 * total.mean())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([high.tobytes()], pa.binary())})
+
+    told = _texts(df, text).mapInArrow(run, "block int, n binary").groupBy("block").applyInArrow(add, "block int, bits binary")
+    out = np.zeros((2 << SLOT_BITS) // 8, np.uint8)
+    for r in told.collect():  # as many rows as the sketch has blocks
+        out[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(2, -1)
 
-    counted = _texts(df, text).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token")
-    return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
+
+def _is_frequent(tokens: np.ndarray, high: np.ndarray) -> np.ndarray:
+    out = np.ones(len(tokens), bool)
+    for bits, slots in zip(high, _slots(tokens), strict=True):
+        out &= (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
 def _orders(df: DataFrame, text: str, words: int, similar: int, frequent: np.ndarray) -> DataFrame:
     """set, n, lists (the tokens of the short lists in order, as bytes): a row for each different set with tokens."""
-    shared = df.sparkSession.sparkContext.broadcast(frequent)  # at most 8 * MOST_FREQUENT bytes
+    shared = df.sparkSession.sparkContext.broadcast(frequent)  # of a fixed size
 
     def run(batches):
         import pyarrow as pa
@@ -137,7 +190,7 @@ def _orders(df: DataFrame, text: str, words: int, similar: int, frequent: np.nda
         for batch in in_pieces(batches, 0, BYTES):
             tokens, sizes = shingles(batch.column(0).to_pylist(), words)
             (mark,) = fingerprints(tokens, sizes, 0)
-            late = _in(tokens, hot)
+            late = _is_frequent(tokens, hot)
             ends = np.cumsum(sizes)
             rows = []
             for i, m in enumerate(mark.tolist()):
@@ -234,7 +287,7 @@ def _merged(similar: int):
 
 
 def _verify(df: DataFrame, text: str, words: int, similar: int, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of set fingerprints that are similar enough, by probing one set's tokens in the other's sorted ones.
+    """Those of the pairs (a, b: sets; ata, atb: their texts) that are similar enough, by probing one set's tokens in the other's sorted ones.
 
     pairs must be cut. Only texts that a fixed-size bit map of the pairs lets through are sent.
     """
@@ -252,7 +305,7 @@ def _verify(df: DataFrame, text: str, words: int, similar: int, pairs: DataFrame
         for k in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000]), pa.array(own[at[k : k + 100_000]], pa.int32())], ["at", "bits"])
 
-    rows = pairs.select("a", "b").mapInArrow(bits, "at bigint, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most 2 ** (MAP_BITS - 3) rows
+    rows = pairs.select("ata", "atb").mapInArrow(bits, "at bigint, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most 2 ** (MAP_BITS - 3) rows
     wanted = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     wanted[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.uint8)
     shared = spark.sparkContext.broadcast(wanted)
@@ -261,16 +314,16 @@ def _verify(df: DataFrame, text: str, words: int, similar: int, pairs: DataFrame
         import pyarrow as pa
 
         seen = set()
-        for batch in in_pieces(batches, 0, BYTES):
-            (mark,) = fingerprints(*shingles(batch.column(0).to_pylist(), words), 0)
-            slot = mixed(mark.view(np.uint64)) >> np.uint64(64 - MAP_BITS)
+        for batch in batches:
+            names = np.asarray(batch.column(0))
+            slot = mixed(names.view(np.uint64)) >> np.uint64(64 - MAP_BITS)
             hit = (shared.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-            at = []
+            fresh = []
             for i in np.flatnonzero(hit).tolist():
-                if (m := int(mark[i])) not in seen:
+                if (m := int(names[i])) not in seen:
                     seen.add(m)
-                    at.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(mark[at]), batch.column(0).take(pa.array(at, pa.int64()))], ["set", "text"])
+                    fresh.append(i)
+            yield batch.take(pa.array(fresh, pa.int64()))
 
     def probe(batches):
         import pyarrow as pa
@@ -287,10 +340,11 @@ def _verify(df: DataFrame, text: str, words: int, similar: int, pairs: DataFrame
                 keep.append(bool(len(few)) and int(_in(few, many).sum()) >= needed(len(own), len(other), similar))
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    texts = _texts(df, text).mapInArrow(send, "set bigint, text string").groupBy("set").agg(F.first("text").alias("text"))
-    texts = cut(texts)
-    with_b = pairs.join(texts.select(F.col("set").alias("b"), F.col("text").alias("tb")), "b")
-    both = with_b.join(texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    named = _texts(df, text).select(F.xxhash64("__text").alias("at"), F.col("__text").alias("text"))
+    texts = named.mapInArrow(send, "at bigint, text string").groupBy("at").agg(F.first("text").alias("text"))
+    # both sides sorted: the same way at every size, and probe() meets a set's pairs together
+    with_b = pairs.join(texts.select(F.col("at").alias("atb"), F.col("text").alias("tb")).hint("merge"), "atb")
+    both = with_b.join(texts.select(F.col("at").alias("ata"), F.col("text").alias("ta")).hint("merge"), "ata").select("a", "b", "ta", "tb")
     return both.mapInArrow(probe, "a bigint, b bigint")
 
 
@@ -303,17 +357,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     """
     spark = df.sparkSession
     prepare(spark)
-    rows = cut(_summaries(df, key, text, words))
-    sets = rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), *[F.first(f"m{k}").alias(f"m{k}") for k in range(LEADERS)])
-    marks = sets.select("set", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("m")) for k in range(LEADERS)])).alias("x")).select("set", "n", "x.k", "x.m")
-    leaders = marks.groupBy("k", "m").agg(F.min(F.struct("set", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1").select("k", "m", "lead")
+    frequent = _frequent(df, text, words)
+    rows = cut(_summaries(df, key, text, words, frequent))
+    sets = cut(rows.where("n > 0").drop(key).dropDuplicates(["set"]))
+    marks = sets.select("set", "n", "rare", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("m")) for k in range(LEADERS)])).alias("x")).select("set", "n", "rare", "x.k", "x.m")
+    leaders = marks.groupBy("k", "m").agg(F.min(F.struct("rare", "set", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1").select("k", "m", "lead")
     led = marks.join(leaders, ["k", "m"]).where(f"set <> lead.set and least(n, lead.n) * 100 >= {similar} * greatest(n, lead.n)")
-    links = cut(_verify(df, text, words, similar, cut(led.select(F.col("lead.set").alias("a"), F.col("set").alias("b")).distinct())))
+    links = cut(_verify(df, text, words, similar, cut(_possible(led.select(F.col("lead.set").alias("a"), F.col("set").alias("b")).distinct(), sets, similar))))
     known = components(links)
-    orders = _orders(df, text, words, similar, _frequent(df, text, words, similar)).join(known.withColumnRenamed("node", "set"), "set", "left")
+    orders = _orders(df, text, words, similar, frequent).join(known.withColumnRenamed("node", "set"), "set", "left")
     postings = orders.select("set", "n", "lists", F.coalesce("root", "set").alias("root")).mapInArrow(_postings, "token bigint, set bigint, n bigint, root bigint, place bigint")
     candidates = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_merged(similar), "a bigint, b bigint").distinct()
-    more = cut(_verify(df, text, words, similar, cut(candidates)))
+    more = cut(_verify(df, text, words, similar, cut(_possible(candidates, sets, similar))))
     roots = components(links.union(more)).withColumnRenamed("node", "set")
     placed = rows.select(key, "n", "set").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     placed = cut(placed)
