@@ -57,8 +57,8 @@ class Model:
     temperature: float = 1.0
     threshold: float = 0.0
 
-    def logits(self, texts: list[bytes]) -> np.ndarray:
-        """Of whole texts that LETTERS has translated."""
+    def sums(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and numbers of the features of texts (or single words) that LETTERS has translated."""
         data = b" " + b" ".join(texts) + b" "
         ends = np.cumsum([len(t) + 1 for t in texts])
         begins = ends - [len(t) for t in texts]
@@ -76,8 +76,15 @@ class Model:
                 total[some] += np.add.reduceat(lookup[buckets[a:b]], edges[some], axis=0)
             count += sizes
             a = b
+        return total, count
+
+    def logits_of(self, total: np.ndarray, count: np.ndarray) -> np.ndarray:
         mean = total / np.maximum(count, 1)[:, None]
-        return (mean if short else mean @ self.weights) + self.bias
+        return (mean if len(self.languages) <= self.embeddings.shape[1] else mean @ self.weights) + self.bias
+
+    def logits(self, texts: list[bytes]) -> np.ndarray:
+        """Of whole texts that LETTERS has translated."""
+        return self.logits_of(*self.sums(texts))
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
         z = self.logits(texts) / self.temperature

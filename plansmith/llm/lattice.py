@@ -90,7 +90,7 @@ class Lattice:
         order = np.lexsort((word, start + n))
         return word[order], start[order], (start + n)[order], piece[order], sizes
 
-    def forward(self, words: list[bytes], k: int, arcs) -> tuple[np.ndarray, np.ndarray]:
+    def forward(self, words, k: int, arcs) -> tuple[np.ndarray, np.ndarray]:
         """log sums over all segmentations up to each place of each word (a matrix), and of whole words, in class k."""
         word, start, end, piece, sizes = arcs
         alpha = np.full((len(words), int(sizes.max()) + 1), -np.inf)
@@ -104,22 +104,29 @@ class Lattice:
 
     def expected(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
         """How often each piece is expected in words that occur so many times (words x classes): classes x pieces."""
-        arcs = word, start, end, piece, sizes = self.arcs(words)
-        back = np.lexsort((word, start))
-        edges = np.searchsorted(start[back], np.arange(int(sizes.max()) + 2))
+        word, start, end, piece, sizes = self.arcs(words)
         out = np.zeros(self.weights.shape)
         for c in np.flatnonzero(times.any(0)):
-            alpha, whole = self.forward(words, c, arcs)
-            beta = np.full_like(alpha, -np.inf)
-            beta[np.arange(len(words)), sizes] = 0
-            score = self.weights[c][piece]
-            for s in reversed(range(alpha.shape[1] - 1)):
-                k = back[edges[s] : edges[s + 1]]
-                _sum(beta[:, s], word[k], beta[word[k], end[k]] + score[k])
-            share = np.exp(alpha[word, start] + score + beta[word, end] - whole[word])
-            out[c] = np.bincount(piece, share * times[word, c], out.shape[1])
+            mine = times[:, c] > 0  # a class's own words only
+            new, hit = np.cumsum(mine) - 1, mine[word]
+            own = new[word[hit]], start[hit], end[hit], piece[hit], sizes[mine]
+            out[c] = self._expected(c, own, times[mine, c])
         return out
 
+    def _expected(self, c: int, arcs, times: np.ndarray) -> np.ndarray:
+        word, start, end, piece, sizes = arcs
+        alpha, whole = self.forward(sizes, c, arcs)
+        beta = np.full_like(alpha, -np.inf)
+        beta[np.arange(len(sizes)), sizes] = 0
+        score = self.weights[c][piece]
+        back = np.lexsort((word, start))
+        edges = np.searchsorted(start[back], np.arange(alpha.shape[1] + 1))
+        for s in reversed(range(alpha.shape[1] - 1)):
+            k = back[edges[s] : edges[s + 1]]
+            _sum(beta[:, s], word[k], beta[word[k], end[k]] + score[k])
+        share = np.exp(alpha[word, start] + score + beta[word, end] - whole[word])
+        return np.bincount(piece, share * times[word], len(self.weights[c]))
+
     def long_word(self, word: bytes) -> np.ndarray:
         """One word of any length."""
         text, ids = b" " + word, self.ids

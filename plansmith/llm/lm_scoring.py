@@ -28,8 +28,8 @@ from plansmith.llm.lattice import Lattice, Vocabulary, batches, reestimated
 SHARD, ROUNDS, CLASSES = 24 << 20, 2, 6
 #: Mass taken from each word that was seen, highest share of copies, words after which half of it is reached.
 DISCOUNT, COPIES, WARM = 0.75, 0.15, 20
-#: Texts classified at once.
-TEXTS = 256
+#: Words whose features are summed at once.
+WORDS = 50_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -70,13 +70,22 @@ def _buckets(words: list[bytes], count: int) -> list[list[bytes]]:
     return out
 
 
-def classes_of(model: Model, texts: list[str]) -> np.ndarray:
-    """Numbers of the classes of texts; 0 where there is but one or no letter."""
-    out = np.zeros(len(texts), np.int64)
-    if len(model.languages) > 1:
-        for a in range(0, len(texts), TEXTS):
-            out[a : a + TEXTS] = model.logits([t.encode("utf-8", "surrogatepass").translate(LETTERS) for t in texts[a : a + TEXTS]]).argmax(1)
-    return np.minimum(out, CLASSES - 1)
+def classes_of(model: Model, words: list[bytes], docs: list[np.ndarray]) -> np.ndarray:
+    """Numbers of the classes of texts given as numbers of their words; features don't go over words, so each word's are summed once."""
+    if len(model.languages) < 2:
+        return np.zeros(len(docs), np.int64)
+    parts = [model.sums([w.translate(LETTERS) for w in words[a : a + WORDS]]) for a in range(0, len(words), WORDS)]
+    total, count = (np.concatenate(x).astype(np.float32) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, 1)), np.zeros(0))
+    sums = np.array([total[d].sum(0) for d in docs])
+    return np.minimum(model.logits_of(sums, np.array([count[d].sum() for d in docs])).argmax(1), CLASSES - 1)
+
+
+def _numbered(texts: list[str], count: int) -> tuple[list[list[bytes]], list[np.ndarray]]:
+    """The different words of texts by bucket, and every text as numbers of words in that order."""
+    docs = [tokens(t) for t in texts]
+    parts = _buckets(set().union(*docs), count)
+    place = {w: i for i, w in enumerate(w for p in parts for w in p)}
+    return parts, [np.fromiter(map(place.__getitem__, d), np.int64, len(d)) for d in docs]
 
 
 def score(df: DataFrame, learn, key: str, file: str, text: str = "text", label: str | None = "lang") -> DataFrame:
@@ -100,19 +109,16 @@ def score(df: DataFrame, learn, key: str, file: str, text: str = "text", label:
     def count_words(key_, group):
         import pyarrow as pa
 
-        found: dict[bytes, np.ndarray] = {}
-        per: list[dict[bytes, int]] = [{} for _ in range(k + 1)]
-        ends = np.zeros(k, np.int64)
-        all_texts, held = group["text"].to_pylist(), group["held"].to_pylist()
-        for t, h, c in zip(all_texts, held, classes_of(shared.value, all_texts).tolist(), strict=True):
-            own = per[k] if h else per[c]
-            if not h:
-                ends[c] += 1
-            for w in tokens(t):
-                own[w] = own.get(w, 0) + 1
-        found = set().union(*per)
-        parts = _buckets(found, count)
-        out = [(b, key_[0].as_py(), _pack_words(p), _pack(np.array([[d.get(w, 0) for d in per[:k]] for w in p], np.int64))) for b, p in enumerate(parts) if p]
+        parts, docs = _numbered(group["text"].to_pylist(), count)
+        kinds = np.where(np.asarray(group["held"]), k, classes_of(shared.value, [w for p in parts for w in p], docs))
+        ends = np.bincount(kinds, minlength=k + 1)[:k]
+        counts = np.zeros((sum(map(len, parts)), k), np.int64)
+        for c in range(k):
+            own = [d for d, x in zip(docs, kinds, strict=True) if x == c]
+            if own:
+                counts[:, c] = np.bincount(np.concatenate(own), minlength=len(counts))
+        edges = np.cumsum([0, *map(len, parts)])
+        out = [(b, key_[0].as_py(), _pack_words(p), _pack(counts[edges[b] : edges[b + 1]])) for b, p in enumerate(parts) if p]
         out.append((-1, key_[0].as_py(), b"", _pack(ends)))
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "shard", "words", "counts"), zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
@@ -170,13 +176,11 @@ def score(df: DataFrame, learn, key: str, file: str, text: str = "text", label:
     def add_scores(_, group, told):
         import pyarrow as pa
 
-        docs = [tokens(t) for t in group["text"].to_pylist()]
-        order = [w for p in _buckets(set().union(*docs), count) for w in p]
-        place = {w: i for i, w in enumerate(order)}
+        _, docs = _numbered(group["text"].to_pylist(), count)
         rows_ = sorted(zip(told["bucket"].to_pylist(), told["base"].to_pylist(), told["logs"].to_pylist(), strict=True))
         base = np.concatenate([_unpack(b, np.float64) for _, b, _ in rows_] or [np.empty(0)])
         logs = np.concatenate([_unpack(x, np.float32, k) for _, _, x in rows_] or [np.empty((0, k), np.float32)])
-        out = [text_scores(np.fromiter(map(place.__getitem__, d), np.int64, len(d)), base, logs, known) for d in docs]
+        out = [text_scores(d, base, logs, known) for d in docs]
         n, seen, b, s = zip(*out, strict=True)
         arrays = [group["key"], group["held"], pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array([n_all] * len(docs), pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64())]
         return pa.Table.from_arrays(arrays, [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
