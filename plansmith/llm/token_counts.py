@@ -18,7 +18,7 @@ from plansmith.llm.common import in_pieces, prepare, table
 from plansmith.llm.pretokens import Split, Table, chunks, mixed, odd_texts
 
 #: Pre-tokens that a worker remembers before it starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
 #: Symbols that are merged at once, and bytes of text handled at once.
 SYMBOLS, BYTES = 1 << 20, 4 << 20
 NONE = np.int64(1 << 40)
