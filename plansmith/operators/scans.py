@@ -147,3 +147,10 @@ def partition_iterator(spark, sf_dir):
     """PartitionIterator: the same step for each partition of the data."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return table(spark, sf_dir, "lineitem").where("l_orderkey < 100").select("l_orderkey", F.row_number().over(w).alias("i"))
+
+
+@query("SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS i FROM lineitem")
+def partition_iterator_all(spark, sf_dir):
+    """PartitionIterator over the rows of all order keys."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).alias("i"))
