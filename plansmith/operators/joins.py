@@ -113,6 +113,40 @@ def join_anti_full(spark, sf_dir):
     return o.join(c, _on(), "full").where("o_orderkey is null or c_custkey is null").selectExpr("coalesce(o_orderkey, -1L) AS o_orderkey", "coalesce(c_custkey, -1L) AS c_custkey")
 
 
+_WHOLE = "SELECT coalesce(o_orderkey, -1) AS o_orderkey, c_mktsegment FROM orders {} customer ON o_custkey = c_custkey AND c_acctbal > 0"
+
+
+def _whole(spark, sf_dir, how):
+    """Both tables whole: the balance is part of the join condition, so it decides what finds a partner and drops no row of a kept side."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return _orders(spark, sf_dir).join(c, _on() & (F.col("c_acctbal") > 0), how)
+
+
+def _whole_rows(spark, sf_dir, how):
+    return _whole(spark, sf_dir, how).select(F.coalesce("o_orderkey", F.lit(-1)).alias("o_orderkey"), "c_mktsegment")
+
+
+@query(_WHOLE.format("LEFT JOIN"))
+def join_left_all(spark, sf_dir):
+    return _whole_rows(spark, sf_dir, "left")
+
+
+@query(_WHOLE.format("RIGHT JOIN"))
+def join_right_all(spark, sf_dir):
+    return _whole_rows(spark, sf_dir, "right")
+
+
+@query(_WHOLE.format("FULL JOIN"))
+def join_full_all(spark, sf_dir):
+    return _whole_rows(spark, sf_dir, "full")
+
+
+@query("SELECT coalesce(o_orderkey, -1) AS o_orderkey, coalesce(c_custkey, -1) AS c_custkey FROM orders FULL JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 WHERE o_orderkey IS NULL OR c_custkey IS NULL")
+def join_anti_full_all(spark, sf_dir):
+    """LeftAntiFull / RightAntiFull over whole tables."""
+    return _whole(spark, sf_dir, "full").where("o_orderkey is null or c_custkey is null").selectExpr("coalesce(o_orderkey, -1L) AS o_orderkey", "coalesce(c_custkey, -1L) AS c_custkey")
+
+
 @query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN s_suppkey % 7 = 0 THEN s_nationkey ELSE 3 END FROM supplier)")
 def join_not_in_null_aware(spark, sf_dir):
     """LeftAntiSemiNotIn: the null-aware anti join that NOT IN means."""
