@@ -54,6 +54,12 @@ def merge_append(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).union(table(spark, sf_dir, "supplier").select("s_suppkey")).orderBy("k").limit(100)
 
 
+@query("SELECT k FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier) ORDER BY k")
+def merge_append_all(spark, sf_dir):
+    """MergeAppend: the whole ordered union."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).union(table(spark, sf_dir, "supplier").select("s_suppkey")).orderBy("k")
+
+
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def union_distinct(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()

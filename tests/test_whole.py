@@ -27,3 +27,9 @@ def test_outer_joins_keep_all_rows_of_both_tables(spark):
     assert anti.where("c_custkey = -1").count() == orders - matched
     paired = table(spark, DATA, "orders").join(table(spark, DATA, "customer").where("c_acctbal > 0"), F.expr("o_custkey = c_custkey")).select("c_custkey").distinct().count()
     assert anti.where("o_orderkey = -1").count() == customers - paired
+
+
+def test_merge_append_returns_the_whole_ordered_union(spark):
+    got = [r.k for r in QUERIES["merge_append_all"](spark, DATA).collect()]
+    assert len(got) == table(spark, DATA, "customer").count() + table(spark, DATA, "supplier").count()
+    assert got == sorted(got)
