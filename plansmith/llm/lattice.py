@@ -8,8 +8,8 @@ import numpy as np
 
 from plansmith.llm.pretokens import Table, span_hashes
 
-#: Words longer than this many bytes go one by one.
-LONG = 192
+#: Words longer than this many bytes are scored one by one; their expected counts go by batches of so many cells (words x longest), or alone.
+LONG, CELLS = 192, 1 << 18
 
 
 @dataclass
@@ -161,6 +161,18 @@ def batches(words: list[bytes], size: int = 20_000):
         yield short[a : a + size]
 
 
+def long_batches(words: list[bytes]):
+    """Numbers of the long words, words of like lengths together; one that has more cells than a batch may have goes alone."""
+    own: list[int] = []
+    for k in sorted((k for k, w in enumerate(words) if len(w) > LONG), key=lambda k: len(words[k])):
+        if own and (len(own) + 1) * (len(words[k]) + 2) > CELLS:
+            yield np.array(own)
+            own = []
+        own.append(k)
+    if own:
+        yield np.array(own)
+
+
 def _sum(out: np.ndarray, word: np.ndarray, x: np.ndarray) -> None:
     """out[word] = log of the sum of exp(x) over each word's entries, which stand together."""
     if len(x):

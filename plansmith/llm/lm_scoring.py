@@ -15,6 +15,7 @@ counts up, score their words, and answer every shard with the scores of its word
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from plansmith.llm.common import cut, prepare, table
 from plansmith.llm.language_id import LETTERS, Model, held_out, train
-from plansmith.llm.lattice import Lattice, Vocabulary, batches, reestimated
+from plansmith.llm.lattice import Lattice, Vocabulary, batches, long_batches, reestimated
 
 #: Bytes of text in a shard; rounds of re-estimation; classes at most.
 SHARD, ROUNDS, CLASSES = 24 << 20, 2, 6
@@ -200,7 +201,7 @@ def _expected(words: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, k:
         for batch in batches_:
             for names, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 names, seen = _unpack_words(names), (_unpack(counts, np.int64, k) > 0).astype(float)
-                for at in batches(names):
+                for at in chain(batches(names), long_batches(names)):
                     total += lattice.expected([names[i] for i in at], seen[at])
         c, p = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(p), pa.array(total[c, p])], ["c", "p", "n"])
