@@ -1,8 +1,11 @@
 """What the training-data operators must not leave out."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from plansmith.llm import lattice, lm_scoring
+from plansmith.llm import language_id, lattice, lm_scoring
+from plansmith.registry import table
 
 
 def test_expected_counts_take_in_long_words(spark):
@@ -29,3 +32,13 @@ def test_long_batches_bound_their_cells(monkeypatch):
     got = [b.tolist() for b in lattice.long_batches(names)]
     assert sorted(k for b in got for k in b) == [1, 2, 3, 4, 5]
     assert all(len(b) == 1 or len(b) * (max(len(names[k]) for k in b) + 1) <= 1000 for b in got)
+
+
+@pytest.mark.parametrize("left_out", ["de", "es"])
+def test_texts_of_a_language_left_out_of_training_go(spark, left_out):
+    docs = table(spark, "/root/testdata/sf0.1", "documents").where("lang is not null and text is not null and length(text) > 40").withColumn("new", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 1)
+    model = language_id.train(docs.where(F.col("lang") != left_out).where("not new"))
+    out = language_id.predict(docs.where("new"), model, keep=["doc_id", "lang"]).collect()
+    foreign, own = [r for r in out if r.lang == left_out], [r for r in out if r.lang == r.lang_pred]
+    assert foreign and sum(r.rejected for r in foreign) >= 0.8 * len(foreign)
+    assert sum(not r.rejected for r in own) >= 0.95 * len(own)
