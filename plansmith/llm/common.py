@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch holds; texts may be long, so batches are short.
-ARROW_ROWS = 512
+#: Rows and bytes that one Arrow batch holds; texts may be long, so batches are short.
+ARROW_ROWS, ARROW_BYTES = 4096, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Short Arrow batches, and a checkpoint folder where the cluster names none."""
+    """Short Arrow batches for this session from here on (results are computed when they are read), and a checkpoint folder if none is set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     shared_dir(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only if unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``), with its file system; a temporary one only in local mode."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plansmith-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+    path = sc._jvm.org.apache.hadoop.fs.Path(named or sc._jsc.sc().getCheckpointDir().get())
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def carried(df: DataFrame, keep, added: list[str]):
+    """(a column ``row`` that holds the kept columns apart from the operator's own, what puts them before the new columns of a result).
+
+    A kept column that has the name of a new one is replaced by it.
+    """
+    new = {a.lower() for a in added}
+    keep = [c for c in keep if c.lower() not in new]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]) if keep else F.lit(0)
+    return row.alias("row"), lambda out: out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"`{a}`") for a in added])
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,6 +52,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine: workers stay for later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def in_pieces(batches, column: int, most: int):
     """Splits record batches so that the strings of one column come to about ``most`` bytes a piece (one row at least)."""
     import numpy as np
@@ -49,8 +77,21 @@ def in_pieces(batches, column: int, most: int):
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+    release()
 
 
-def texts_or_empty(text_column: str = "text"):
-    """The text, with null as the empty text."""
-    return F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+def gathered(batches, column: int, most: int):
+    """Joins record batches until the strings of one column come to about ``most`` bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)

@@ -1,6 +1,6 @@
 """Connected components of a table of links.
 
-Each partition first replaces its links by a spanning forest (union-find over what the partition holds). Then large-star and small-star
+Each partition first replaces its links by spanning forests (union-find over LINKS links at a time). Then large-star and small-star
 steps, which are joins and minima, run to a fixed point: every node ends next to the smallest node of its component.
 """
 
@@ -31,14 +31,27 @@ def forest_of(pairs) -> dict:
     return {x: find(x) for x in root}
 
 
+#: Links of which a task makes one forest.
+LINKS = 1 << 18
+
+
 def _contract(batches):
     import pyarrow as pa
 
-    pairs = ((a, b) for batch in batches for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-    found = [(x, r) for x, r in forest_of(pairs).items() if x != r]
-    for at in range(0, len(found), 10_000):
-        part = found[at : at + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["u", "v"])
+    pairs: list = []
+
+    def forest():
+        found = [(x, r) for x, r in forest_of(pairs).items() if x != r]
+        pairs.clear()
+        for at in range(0, len(found), 10_000):
+            part = found[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        pairs += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        if len(pairs) >= LINKS:
+            yield from forest()
+    yield from forest()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
