@@ -1,10 +1,13 @@
 """Near-duplicate vectors by cover trees and dual traversal.
 
-Vectors of a label that are equal count as one. Unit vectors at cosine c are sqrt(2 - 2c) apart, so a cosine threshold is a distance. Each
-label's vectors fall into cells around a bounded number of pivots, the top of the tree; cells split into blocks. A pair of blocks meets in one
-task unless the pivots' distance and the cells' radii keep their vectors apart. There each block gets a cover tree (nested levels, halving
-radii, each node with its true covering radius), and both trees are gone through together: a pair of nodes is dropped if its bound is over
-the threshold, taken whole if its bound is under it, and split otherwise. Leaves are compared exactly.
+Vectors of a label that are equal count as one. Unit vectors at cosine c are sqrt(2 - 2c) apart, so a cosine threshold is a distance t. Each
+label's vectors fall into cells, each around the nearest of a bounded number of pivots, the top of the tree; cells split into blocks. A vector's
+partners in another cell are no more than 2t nearer to that cell's pivot than it is to its own, so it goes, as a guest, to the cells of lower
+number that are so near, and to no others. Where vectors meet, each side gets a cover tree (nested levels, halving radii, each node with its true
+covering radius), and both trees are gone through together: a pair of nodes is dropped if its bound is over the threshold, taken whole if its
+bound is under it, and split otherwise. Leaves are compared exactly.
+
+A tree is built from the top: a node's vectors are compared with its children's centres only, each child taking what is near it from what is left.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from plansmith.llm.common import cut, prepare, table
 from plansmith.llm.components import components, forest_of
 
 COSINE = 0.93
-#: Vectors of a block (about), pivots of a label and of all labels at most, vectors of a leaf, safety of the bounds.
-BLOCK, PIVOTS, ALL_PIVOTS, LEAF, SAFE = 2048, 64, 1 << 14, 8, 1e-7
+#: Vectors of a block (about), pivots of a label and of all labels at most, vectors of a leaf, safety of the bounds, parts of equal vectors' rows.
+BLOCK, PIVOTS, ALL_PIVOTS, LEAF, SAFE, SALTS = 2048, 64, 1 << 14, 8, 1e-7, 8
 
 
 @dataclass
@@ -42,16 +45,18 @@ def build(x: np.ndarray, members: np.ndarray | None = None, reach: float = 2.0,
         return node
     while reach / 2 >= node.radius:
         reach /= 2
-    left, next_centre = np.ones(len(members), bool), int(np.flatnonzero(members == centre)[0])
-    close = own @ own.T >= 1 - reach * reach / 8 if len(members) <= 2 * BLOCK else None  # at most reach / 2 apart
+    free, at = np.ones(len(members), bool), int(np.flatnonzero(members == centre)[0])
     while True:  # nested: the node's centre is its first child's
-        row = close[next_centre] if close is not None else own @ own[next_centre] >= 1 - reach * reach / 8
-        near = np.union1d(np.flatnonzero(row & left), [next_centre])
-        left[near] = False
-        node.children.append(build(x, members[near], reach / 2, int(members[next_centre])))
-        if not left.any():
+        near = free & (own @ own[at] >= 1 - reach * reach / 8)  # at most reach / 2 apart
+        near[at] = True
+        node.children.append(build(x, members[near], reach / 2, int(members[at])))
+        free &= ~near
+        left = int(free.sum())
+        if not left:
             return node
-        next_centre = int(np.flatnonzero(left)[0])
+        if 2 * left < len(free):
+            own, members, free = own[free], members[free], np.ones(left, bool)
+        at = int(free.argmax())
 
 
 def _distance(cosine: np.ndarray) -> np.ndarray:
@@ -133,54 +138,49 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
         pivots.setdefault(tuple(r["group"]), []).append(np.array(r["v"], np.float64))
     pivots = {g: (p := np.stack(v)) / np.sqrt((p * p).sum(1, keepdims=True)) for g, v in pivots.items()}
     shared = spark.sparkContext.broadcast(pivots)  # at most ALL_PIVOTS vectors
+    reach = 2 * float(np.sqrt(2 - 2 * cosine)) + SAFE
 
     def place(batches):
         import pyarrow as pa
 
         for batch in batches:
             groups = [tuple(g.values()) for g in batch.column(0).to_pylist()]
-            cell, gap = np.zeros(len(groups), np.int64), np.full(len(groups), 2.0)
+            cell, guest = np.zeros(len(groups), np.int64), [[]] * len(groups)
             for g in set(groups):
                 if (p := shared.value.get(g)) is not None:
                     at = np.array([i for i, x in enumerate(groups) if x == g])
-                    c = _matrix(batch.column(1).take(pa.array(at))) @ p.T
-                    cell[at], gap[at] = c.argmax(1), _distance(c.max(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(gap)], [*columns, "cell", "gap"])
+                    gap = _distance(_matrix(batch.column(1).take(pa.array(at))) @ p.T)
+                    cell[at] = gap.argmin(1)
+                    for i, near in zip(at.tolist(), gap <= gap.min(1, keepdims=True) + reach, strict=True):
+                        guest[i] = np.flatnonzero(near[: cell[i]]).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(guest, pa.list_(pa.int64()))], [*columns, "cell", "guest"])
 
     columns = ["group", "v", "rep", "n"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in same.schema.fields)
-    placed = cut(same.select(*columns).mapInArrow(place, fields + ", cell bigint, gap double"))
-    cells = placed.groupBy("group", "cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius"))
-    partners = spark.createDataFrame(_partners(cells.collect(), pivots, cosine) or [], f"{cells.schema['group'].dataType.simpleString().join(['group ', ''])}, cell bigint, blocks int, to bigint, to_blocks int")
-    mine = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).alias("block")
-    dealt = placed.join(partners, ["group", "cell"]).select("*", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("to_blocks") - 1)).alias("other"))
-    here, there = F.struct("cell", F.col("block").cast("int").alias("block")), F.struct(F.col("to").alias("cell"), F.col("other").alias("block"))
-    dealt = dealt.select("group", F.least(here, there).alias("a"), F.greatest(here, there).alias("b"), (here > there).alias("second"), "rep", "n", "v")
-    found = cut(dealt.groupBy("group", "a", "b").applyInArrow(_meet(cosine), "rep bigint, links bigint, root bigint"))
+    placed = cut(same.select(*columns).mapInArrow(place, fields + ", cell bigint, guest array<bigint>"))
+    guests = placed.select("group", F.explode("guest").alias("cell"), "rep", "n", "v")
+    size = lambda n: F.ceil(F.count("*") / BLOCK).cast("int").alias(n)
+    cells = placed.groupBy("group", "cell").agg(size("blocks")).join(guests.groupBy("group", "cell").agg(size("guests")), ["group", "cell"], "left")
+    cells = cut(cells.select("group", "cell", "blocks", F.coalesce("guests", F.lit(0)).alias("guests")))
+    mine = lambda seed, n: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+    # a meeting: hosts of blocks a and b, or (kind 1) hosts of block a and guests of block b
+    hosts = placed.select("group", "cell", "rep", "n", "v").join(cells, ["group", "cell"]).withColumn("own", mine(3, "blocks"))
+    own, other = F.col("own"), F.col("other")
+    pairs = hosts.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("group", "cell", F.lit(0).alias("kind"), F.least(own, other).alias("a"), F.greatest(own, other).alias("b"), (own > other).alias("second"), "rep", "n", "v")
+    open_ = hosts.where("guests > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("other")).select("group", "cell", F.lit(1).alias("kind"), own.alias("a"), other.alias("b"), F.lit(False).alias("second"), "rep", "n", "v")
+    come = guests.join(cells, ["group", "cell"]).withColumn("own", mine(5, "guests")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    come = come.select("group", "cell", F.lit(1).alias("kind"), other.alias("a"), own.alias("b"), F.lit(True).alias("second"), "rep", "n", "v")
+    found = cut(pairs.union(open_).union(come).groupBy("group", "cell", "kind", "a", "b").applyInArrow(_meet(cosine), "rep bigint, links bigint, root bigint"))
     added = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found, "rep", "root").withColumnRenamed("node", "rep")
     classes = same.join(added, "rep", "left").join(roots, "rep", "left").select("group", "v", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    linked = fine.join(classes, ["group", "v"]).select("k", "n_links", "component_id")
+    # equal vectors may be a third of all rows: what is known of them goes to SALTS tasks
+    salted = classes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    linked = fine.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS))).join(salted, ["group", "v", "salt"]).select("k", "n_links", "component_id")
     alone = rows.where(~_usable("v", "label")).select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"))
     return linked.unionByName(alone).select(F.col("k").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("k") == F.col("component_id")).alias("kept"))
 
 
-def _partners(cells, pivots: dict, cosine: float) -> list[tuple]:
-    """(group, cell, its blocks, a cell that may hold links with it, that one's blocks)."""
-    by: dict = {}
-    for r in cells:
-        by.setdefault(tuple(r["group"]), []).append(r)
-    out, reach = [], float(np.sqrt(2 - 2 * cosine))
-    for g, own in by.items():
-        blocks = {r["cell"]: -(-r["n"] // BLOCK) for r in own}
-        p = pivots.get(g)
-        for r in own:
-            for s in own:
-                if p is None or r["cell"] == s["cell"] or _distance(p[r["cell"]] @ p[s["cell"]]) <= reach + r["radius"] + s["radius"] + SAFE:
-                    out.append((g, r["cell"], blocks[r["cell"]], s["cell"], blocks[s["cell"]]))
-    return out
-
-
 def _meet(cosine: float):
     def run(_, rows):
         import pyarrow as pa
@@ -190,8 +190,7 @@ def _meet(cosine: float):
         x = _matrix(rows["v"])
         links = Links(x, weights, cosine)
         first, other = np.flatnonzero(~second), np.flatnonzero(second)
-        same = rows["a"][0] == rows["b"][0]
-        if same:
+        if rows["kind"][0].as_py() == 0 and rows["a"][0] == rows["b"][0]:
             tree = build(x)
             links.join(tree, tree)
         elif len(first) and len(other):
