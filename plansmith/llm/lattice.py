@@ -10,6 +10,8 @@ from plansmith.llm.pretokens import Table, span_hashes
 
 #: Words longer than this many bytes are scored one by one; their expected counts go by batches of so many cells (words x longest), or alone.
 LONG, CELLS = 192, 1 << 18
+#: Pieces' worth of the prior beside expected counts.
+PRIOR = 100
 
 
 @dataclass
@@ -46,11 +48,21 @@ class Vocabulary:
         names = sorted(best, key=lambda p: (-best[p], p))
         return cls(names, np.arange(len(names)))
 
-    def weights(self) -> np.ndarray:
-        """Natural logarithms of the pieces' probabilities by rank (Zipf's law), the end piece last."""
+    def prior(self) -> np.ndarray:
+        """The unigram model that the existing scores stand for, the end piece last: scores of merges give the order of frequency alone, so
+        probabilities are those of Zipf's law for it."""
         w = 1 / (self.order + 2.7)
         w = np.append(w, w.sum() / 400)
-        return np.log(w / w.sum())
+        return w / w.sum()
+
+    def weights(self) -> np.ndarray:
+        """Natural logarithms of the prior."""
+        return np.log(self.prior())
+
+    def with_counts(self, counts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Weights, a row for each class: expected counts of pieces (classes x pieces) and numbers of ends, and the prior as PRIOR more pieces."""
+        n = np.concatenate([counts, np.asarray(ends, float)[:, None]], 1) + PRIOR * self.prior()
+        return np.log(n / n.sum(1, keepdims=True))
 
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -180,9 +192,3 @@ def _sum(out: np.ndarray, word: np.ndarray, x: np.ndarray) -> None:
         top = np.maximum.reduceat(x, new)
         safe = np.where(np.isfinite(top), top, 0)
         out[word[new]] = safe + np.log(np.add.reduceat(np.exp(x - np.repeat(safe, np.diff(np.append(new, len(x))))), new))
-
-
-def reestimated(counts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Weights from expected counts of pieces (classes x pieces) and numbers of ends, each with a hundredth added."""
-    n = np.concatenate([counts, np.asarray(ends, float)[:, None]], 1) + 1e-2
-    return np.log(n / n.sum(1, keepdims=True))
