@@ -9,7 +9,7 @@ import numpy as np
 from plansmith.llm.pretokens import Split, Table, chunks, odd_texts
 
 #: Pre-tokens that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Encoder:

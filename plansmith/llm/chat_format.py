@@ -73,12 +73,14 @@ def _mask(blocks: Column) -> Column:
 def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv, formatted (the string), mask (spans of learned text) of each conversation.
 
-    Rows go by turn, ties by role and text; repeated rows stay. A null role or text counts as empty, rows with a null conversation form one.
+    Rows go by turn (null turns first), ties by role and text; repeated rows stay. A null role or text counts as empty, rows with a null
+    conversation form one. An empty table gives no rows. A conversation is one string, so one row and one task hold it whole, and the time for
+    it grows with the square of its turns.
     """
-    turns = df.select(
-        F.col(conv).alias("conv"), F.struct(F.col(turn).alias("turn"), escaped(F.coalesce(F.col(role), F.lit("")), ROLE_ESCAPES).alias("role"), escaped(F.coalesce(F.col(text), F.lit(""))).alias("text")).alias("t")
-    )
-    grouped = turns.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns")).select("conv", _blocks(F.col("turns")).alias("blocks"))
+    plain = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    turns = df.select(F.col(conv).alias("conv"), plain.alias("t")).groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    safe = F.transform("turns", lambda t: F.struct(escaped(t["role"], ROLE_ESCAPES).alias("role"), escaped(t["text"]).alias("text")))
+    grouped = turns.select("conv", _blocks(safe).alias("blocks"))
     shown = F.transform("blocks", lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["parts"], NEXT), F.lit(END)))
     return grouped.select(F.col("conv").alias(conv), F.array_join(shown, "").alias("formatted"), _mask(F.col("blocks")).alias("mask"))
 

@@ -17,12 +17,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plansmith.llm.common import in_pieces, prepare, shared_dir, table
+from plansmith.llm.common import carried, gathered, in_pieces, prepare, shared_dir, table
 
 #: Words of a window; bytes of text in a shard; every so many-th position of a suffix array is kept.
 WINDOW, BYTES, SAMPLE = 10, 4 << 20, 8
 #: Benchmark words in a block. One block is broadcast; if there are more, each lies in a file in the shared folder and shards go through them in turn.
 BLOCK_WORDS = 1 << 18
+#: Bytes of text that meet each of several benchmark blocks at once.
+MANY = 16 << 20
 #: A-Z to a-z; ASCII other than letters and digits to blanks.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -198,7 +200,8 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, keep: list[str], text: st
     """The columns ``keep`` of every row with n_words, n_hit (words inside occurrences), n_items, items_sha256, contaminated and spans (word places
     from, to of the merged spans, sorted). cleaned: a column for the text without the spans.
 
-    Null and empty texts have no words and aren't contaminated; items that repeat count once. Rows stay as they are, nothing is shuffled.
+    Null and empty texts have no words and aren't contaminated; items that repeat count once. Rows stay as they are, nothing is shuffled; an
+    empty table gives none. Kept columns that have the name of a new one are replaced.
     """
     from plansmith.llm.token_files import _store
 
@@ -217,7 +220,9 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, keep: list[str], text: st
         else:
             whole.append(block)
     shared = spark.sparkContext.broadcast(whole if not files else [])  # one block: BLOCK_WORDS words and one item's at most
-    frame = df.select(F.col(text).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *[cleaned] * bool(cleaned)]
+    row, back = carried(df, keep, added)
+    frame = df.select(F.col(text).cast("string").alias("text"), row)
 
     def blocks():
         yield from shared.value
@@ -228,7 +233,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, keep: list[str], text: st
     def run(batches):
         import pyarrow as pa
 
-        for batch in in_pieces(batches, 0, BYTES):
+        for batch in in_pieces(gathered(batches, 0, MANY) if files else batches, 0, MANY if files else BYTES):
             docs = [words_of(t) for t in batch.column(0).to_pylist()]
             n = np.array([len(d) for d in docs], np.int64)
             begin = np.cumsum(n) - n
@@ -252,10 +257,10 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, keep: list[str], text: st
             new = [pa.array(n), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digest), pa.array(n_hit > 0), pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))]
             if cleaned:
                 new.append(pa.array([without_spans(t, s) if s else t for t, s in zip(batch.column(0).to_pylist(), spans, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *[cleaned] * bool(cleaned)])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *new], ["row", *added])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:]]
-    return frame.mapInArrow(run, ", ".join([*fields, "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<from:int,to:int>>", *[f"`{cleaned}` string"] * bool(cleaned)]))
+    fields = [f"row {frame.schema['row'].dataType.simpleString()}", "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<from:int,to:int>>"]
+    return back(frame.mapInArrow(run, ", ".join([*fields, *[f"`{cleaned}` string"] * bool(cleaned)])))
 
 
 def without_spans(text: str, spans) -> str:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plansmith.llm.common import in_pieces, prepare, table
+from plansmith.llm.common import carried, in_pieces, prepare, table
 
 #: Bound of the training sample: labelled rows of each language (expected number), languages (the most frequent), and bytes of a row's text.
 ROWS_PER_LANGUAGE, LANGUAGES, ROW_BYTES = 1500, 256, 32768
@@ -146,7 +146,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
 def train(df: DataFrame, text: str = "text", label: str = "lang") -> Model:
     """Fits a model on a sample of the labelled rows of df, bounded by ROWS_PER_LANGUAGE, LANGUAGES and ROW_BYTES.
 
-    Rows are chosen by a hash of their text, evenly within each language. Rows with a null text or label are left out.
+    Rows are chosen by a hash of their text, evenly within each language. Rows with a null text or label are left out, repeated rows count each,
+    and without rows the model knows no language. With more than LANGUAGES labels the model learns the most frequent ones (ties by name): the
+    others are never predicted, and their texts are rejected if the model is unsure of them. Raise LANGUAGES for more.
     """
     prepare(df.sparkSession)
     rows = df.select(F.col(label).cast("string").alias("y"), F.col(text).cast("string").alias("t")).where(F.col("y").isNotNull() & F.col("t").isNotNull() & (F.octet_length("t") <= ROW_BYTES))
@@ -173,11 +175,12 @@ def has_letter(text: str) -> bool:
 def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """Adds lang_pred, score (the probability of the prediction, 0 where there is none) and rejected (below the threshold, or ``und``).
 
-    A null text or one without a letter gets ``und``. keep: the columns to carry (all); one with a name of the new ones is replaced.
+    A null text or one without a letter gets ``und``; of equally likely languages the first in alphabetical order is predicted. Rows stay as
+    they are (repeated rows too, an empty table gives none). keep: the columns to carry (all); one with a name of the new ones is replaced.
     """
     prepare(df.sparkSession)
-    carry = [c for c in keep or df.columns if c not in names]
-    frame = df.select(F.col(text).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in carry])
+    row, back = carried(df, df.columns if keep is None else keep, list(names))
+    frame = df.select(F.col(text).cast("string").alias("text"), row)
     shared = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size: buckets x dimensions
 
     def run(batches):
@@ -193,10 +196,9 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 p = m.probabilities([c for c, k in zip(clean, known, strict=True) if k])
                 found[known], score[known] = np.array(m.languages, object)[p.argmax(1)], p.max(1)
             rejected = ~known | (score < m.threshold)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string()), pa.array(score), pa.array(rejected)], [*carry, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.string()), pa.array(score), pa.array(rejected)], ["row", *names])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:]]
-    return frame.mapInArrow(run, ", ".join([*fields, f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean"]))
+    return back(frame.mapInArrow(run, f"row {frame.schema['row'].dataType.simpleString()}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean"))
 
 
 def held_out(key: str = "doc_id", parts: int = 4, part: int = 2):

@@ -27,7 +27,7 @@ from plansmith.llm.common import cut, in_pieces, prepare, table
 CAPACITY, SMALL, GROUPS, PIVOTS = 2048, 1 / 8, 96, 4000
 #: The id after each document.
 END_ID = 0
-BYTES = 4 << 20
+BYTES = 2 << 20
 
 
 def pieces(df: DataFrame, file: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

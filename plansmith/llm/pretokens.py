@@ -15,7 +15,7 @@ OTHER, LETTER, NUMBER, SPACE, UNASSIGNED = 0, 1, 2, 3, 4
 #: Code points with the property White_Space (fixed values).
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Code points handled at once; a longer text is cut where a pre-token surely starts.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 @lru_cache(1)
@@ -79,7 +79,7 @@ def _contractions(points, first, changed, kind, start, marks) -> None:
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = int(_BASE)
     inverse = pow(base, -1, 1 << 64)

@@ -14,13 +14,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plansmith.llm.common import in_pieces, prepare, table
+from plansmith.llm.common import carried, in_pieces, prepare, table
 from plansmith.llm.pretokens import Split, Table, chunks, mixed, odd_texts
 
 #: Pre-tokens that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Symbols that are merged at once, and bytes of text handled at once.
-SYMBOLS, BYTES = 1 << 20, 4 << 20
+SYMBOLS, BYTES = 1 << 19, 2 << 20
 NONE = np.int64(1 << 40)
 
 
@@ -161,22 +161,23 @@ _counters: dict[str, Counter] = {}
 def count_tokens(df: DataFrame, file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "n_tokens") -> DataFrame:
     """Adds to the columns ``keep`` the number of tokens of each row's whole text; a null text counts as empty, an empty one has 0 tokens.
 
-    Rows stay as they are (repeated rows too), nothing is shuffled. Other columns don't reach Python, so their names don't matter.
+    Rows stay as they are (repeated rows too, an empty table gives none), nothing is shuffled. Other columns don't reach Python, so their names
+    don't matter; a kept column named ``out`` is replaced.
     """
     prepare(df.sparkSession)
-    frame = df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]]
+    row, back = carried(df, keep, [out])
+    frame = df.select(row, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
         import pyarrow as pa
 
         if file not in _counters:
             _counters[file] = Counter(file)
-        for piece in in_pieces(batches, len(keep), BYTES):
-            n = _counters[file].count(piece.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(n, pa.int64())], [*keep, out])
+        for piece in in_pieces(batches, 1, BYTES):
+            n = _counters[file].count(piece.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64())], ["row", out])
 
-    return frame.mapInArrow(run, ", ".join([*fields, f"`{out}` bigint"]))
+    return back(frame.mapInArrow(run, f"row {frame.schema['row'].dataType.simpleString()}, `{out}` bigint"))
 
 
 #: Tokens that a document may have before op6 marks it.

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from plansmith.llm.common import in_pieces, prepare, shared_dir, table
 
 END_ID = 0
-BYTES = 4 << 20
+BYTES = 2 << 20
 
 
 def _store(folder: str):
