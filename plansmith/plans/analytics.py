@@ -34,7 +34,8 @@ def heatmap(parsed: DataFrame) -> DataFrame:
 
     p = widened(parsed, f"coalesce({_Q}, 1D) AS q", f"({_Q}) IS NOT NULL AS counted", "ln(1 + size(filter(ns, k -> k.parent = n.ord))) AS fan")
     p = widened(p, "aggregate(n.ancestors, n.q, (t, a) -> t * ns[a].q) AS path", "n.fan + aggregate(n.ancestors, 0D, (t, a) -> t + ns[a].fan) AS down")
-    w = nodes(p)
+    p = p.withColumn("best", F.expr("transform(ns, n -> array_max(transform(filter(ns, k -> k.parent = n.ord), k -> named_struct('path', if(k.counted, k.path, 1D), 'ord', k.ord))).ord)"))
+    w = nodes(p, "n.q AS q", "n.down AS down", keep=("best",))
     above = F.coalesce(F.expr("get(above, 0).down"), F.lit(0.0))
     below = F.expr("aggregate(sub, 0D, (t, d) -> t + ln(d.q) * exp(-d.down))")
     geo = F.exp((F.log("q") * F.exp(-F.col("down")) + below) * F.exp(above))
@@ -42,9 +43,7 @@ def heatmap(parsed: DataFrame) -> DataFrame:
     severity = F.lit("Extreme")
     for limit, name in reversed(SEVERITIES):
         severity = F.when(F.col("q") < limit, name).otherwise(severity)
-    best = F.expr("forall(concat(array(named_struct('ord', ord, 'parent', parent, 'path', if(counted, path, 1D))), transform(above, a -> named_struct('ord', a.ord, 'parent', a.parent, 'path', if(a.counted, a.path, 1D)))), x -> x.parent IS NULL OR x.ord = get(best, x.parent))")
-    winners = p.select("plan_id", F.expr("transform(ns, n -> array_max(transform(filter(ns, k -> k.parent = n.ord), k -> named_struct('path', if(k.counted, k.path, 1D), 'ord', k.ord))).ord)").alias("best"))
-    w = w.join(winners, "plan_id")
+    best = F.expr("forall(concat(array(named_struct('ord', ord, 'parent', parent)), transform(above, a -> named_struct('ord', a.ord, 'parent', a.parent))), x -> x.parent IS NULL OR x.ord = get(best, x.parent))")
     return w.where("counted").select(
         "plan_id", "ord", F.col("q").alias("q_error"), F.when(ratio > 1.5, "Under").when(ratio < 0.67, "Over").otherwise("Accurate").alias("direction"), severity.alias("severity"),
         "path", geo.alias("subtree_geo"), best.alias("critical_path"),
@@ -63,7 +62,7 @@ def waterfall(parsed: DataFrame) -> DataFrame:
     cpu = "if(coalesce(n.run.executed, false), n.run.time * n.run.loops, 0D)"
     p = widened(parsed, f"{cpu} AS cpu", "coalesce(n.peak_kb, 0D) AS mem", "coalesce(n.sort_disk IS NOT NULL OR n.hash_batches > 1, false) AS spill")
     p = p.withColumns({"all_cpu": F.expr("aggregate(ns, 0D, (t, n) -> t + n.cpu)"), "most_mem": F.expr("array_max(transform(ns, n -> n.mem))")})
-    w = nodes(p).join(p.select("plan_id", "all_cpu", "most_mem"), "plan_id")
+    w = nodes(p, "n.cpu AS cpu", "n.mem AS mem", keep=("all_cpu", "most_mem"))
     cpu_percent = F.when(F.col("all_cpu") > 0, F.col("cpu") / F.col("all_cpu") * 100).otherwise(0.0)
     mem_percent = F.when(F.col("most_mem") > 0, F.col("mem") / F.col("most_mem") * 100).otherwise(0.0)
     out = w.select(
@@ -98,24 +97,40 @@ def suggestions(found: DataFrame) -> DataFrame:
     return ids.select("plan_id", F.inline(F.filter(F.array(*made), lambda x: x.isNotNull())))
 
 
-def summary(parsed: DataFrame, found: DataFrame) -> DataFrame:
-    """One wide row a plan; a plan without findings has zero of each severity."""
-    counts = found.groupBy("plan_id").agg(*[F.count_if(F.col("severity") == s).alias(f"{s.lower()}_count") for s in ("Critical", "Warning", "Info")])
+def summary(parsed: DataFrame, config=None) -> DataFrame:
+    """One wide row a plan; a plan without findings has zero of each severity. Findings are counted with their plan, without a join."""
+    from plansmith.plans import rules
+
+    config = config or rules.Config()
     streaming = "exists(ns, n -> n.node_type IN ('Streaming', 'VectorStreaming'))"
-    p = parsed.select(
-        "plan_id", F.expr("ns[0].node_type").alias("root_op"), F.expr("coalesce(ns[0].total_cost, 0D)").alias("total_cost"), F.expr("coalesce(total_runtime, ns[0].run.time, 0D)").alias("total_time_ms"),
+    own = F.struct(
+        F.expr("ns[0].node_type").alias("root_op"), F.expr("coalesce(ns[0].total_cost, 0D)").alias("total_cost"), F.expr("coalesce(total_runtime, ns[0].run.time, 0D)").alias("total_time_ms"),
         F.expr("ns[0].run.rows").alias("actual_rows"), F.expr("ns[0].plan_rows").alias("estimated_rows"), F.expr("ns[0].run.loops").alias("total_loops"), F.size("ns").alias("node_count"),
         F.expr("array_max(transform(ns, n -> n.depth))").alias("plan_depth"), F.expr("array_max(transform(filter(ns, n -> n.plan_rows >= 1 AND n.run IS NOT NULL), n -> n.run.rows / n.plan_rows))").alias("worst_est_ratio"),
         F.expr("nullif(aggregate(ns, 0D, (t, n) -> t + coalesce(try_cast(regexp_replace(n.sort_disk, 'kB$', '') AS double), 0D)), 0D)").alias("spill_kb"),
         F.expr("coalesce(peak_memory, get(filter(ns, n -> n.peak_kb IS NOT NULL), 0).peak_kb)").alias("peak_memory_kb"),
         F.expr(f"if({streaming}, 'NotPushed', 'Local')").alias("pushdown"), F.expr("array_max(transform(ns, n -> n.removed))").alias("max_filter_removed"), F.col("total_network").alias("network_kb"), F.col("planner_runtime").alias("planner_time_ms"),
     )
-    return p.join(counts, "plan_id", "left").fillna(0, ["critical_count", "warning_count", "info_count"])
+    nodes = rules.masks(parsed.withColumn("own", own), config, keep=("own",))
+    count = lambda name: F.first(F.expr(f"bit_count(plan_mask & {_bits(name)}L)")) + F.sum(F.expr(f"bit_count(mask & {_bits(name)}L)"))
+    return nodes.groupBy("plan_id").agg(F.first("own").alias("own"), *[count(s).alias(f"{s.lower()}_count") for s in rules.SEVERITIES]).select("plan_id", "own.*", *[f"{s.lower()}_count" for s in rules.SEVERITIES])
+
+
+def _bits(severity: str) -> int:
+    """The bits of the rules of a severity."""
+    from plansmith.plans import rules
+
+    return sum(1 << i for i, r in enumerate(rules.ALL) if r.severity == severity)
+
+
+#: Labels of the properties that tell plans apart (fixed values).
+COMPARED = ["Filter", "Sort Key", "Merge Sort Key", "Index Cond", "Hash Cond", "Join Filter", "Merge Cond", "Group By Key", "Distribute Key"]
 
 
 def fingerprints(parsed: DataFrame) -> DataFrame:
     """plan_id, fingerprint: equal for plans of the same nodes, relations and conditions in the same order."""
-    conditions = "filter(n.props, p -> p.label IN ('Filter', 'Hash Cond', 'Merge Cond', 'Join Filter', 'Index Cond', 'Recheck Cond', 'Sort Key', 'Group By Key', 'Distribute Key'))"
+    labels = ", ".join(f"'{x}'" for x in COMPARED)
+    conditions = f"filter(n.props, p -> p.label IN ({labels}))"
     told = f"array_join(transform(ns, n -> concat_ws('|', n.node_type, coalesce(n.streaming, ''), coalesce(n.relation, ''), array_join(transform({conditions}, p -> concat(p.label, '=', p.value)), ';'))), '\\n')"
     return parsed.select("plan_id", F.sha2(F.expr(told), 256).alias("fingerprint"))
 

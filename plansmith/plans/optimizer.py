@@ -12,9 +12,10 @@ from plansmith.registry import query, table
 
 #: What each rule calls for: kind and name of the action (fixed values); other rules are logged.
 ACTIONS = {
-    "SUBQ-001": ("Rewrite", "subquery-to-join"), "TYPE-001": ("Rewrite", "add-explicit-cast"), "TYPE-004": ("Rewrite", "suggest-trgm-index"), "AGG-001": ("Rewrite", "rewrite-group-agg"),
-    "SCAN-001": ("DdlAdvice", "index"), "SCAN-004": ("DdlAdvice", "index"), "JOIN-001": ("DdlAdvice", "index"), "MEM-001": ("ConfigAdvice", "work_mem"), "JOIN-002": ("ConfigAdvice", "work_mem"),
-    "EST-001": ("RunAnalyze", "analyze"), "STATS-001": ("RunAnalyze", "analyze"),
+    "SUBQ-001": ("Rewrite", "subquery-to-join"), "REW-001": ("Rewrite", "subquery-to-join"), "SUBQ-006": ("Rewrite", "subquery-to-join"), "TYPE-001": ("Rewrite", "add-explicit-cast"),
+    "TYPE-004": ("Rewrite", "suggest-trgm-index"), "AGG-001": ("Rewrite", "rewrite-group-agg"), "SCAN-001": ("DdlAdvice", "index"), "SCAN-004": ("DdlAdvice", "index"), "JOIN-001": ("DdlAdvice", "index"),
+    "MEM-001": ("ConfigAdvice", "work_mem"), "MEM-004": ("ConfigAdvice", "work_mem"), "JOIN-002": ("ConfigAdvice", "work_mem"), "AGG-002": ("ConfigAdvice", "work_mem"),
+    "STATS-001": ("RunAnalyze", "analyze"), "EST-001": ("RunAnalyze", "analyze"), "EST-004": ("RunAnalyze", "analyze"),
 }
 
 
@@ -27,7 +28,7 @@ def map_diagnostic(found: DataFrame) -> DataFrame:
 
 def rewritable(mapped: DataFrame) -> DataFrame:
     """Findings with a rewrite; a subquery's needs a table."""
-    return mapped.where("action = 'Rewrite' AND (rule_id <> 'SUBQ-001' OR relation IS NOT NULL)")
+    return mapped.where("action = 'Rewrite' AND (rule_id <> 'SUBQ-001' OR table IS NOT NULL)")
 
 
 def decisions(snapshots: DataFrame, run: str, max_iterations: int = 10) -> DataFrame:

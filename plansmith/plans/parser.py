@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from plansmith.plans import vocabulary as V
 
-NUMBER = r"([0-9]*\.?[0-9]+)"
-COST = rf"\(cost={NUMBER}\.\.{NUMBER} rows={NUMBER} width=(\d+)\)"
-ANY_COST = r"\(cost=\.\*[^)]*\)"
-TIMES = rf"actual time={NUMBER}\.\.{NUMBER} rows={NUMBER} loops={NUMBER}"
-ROWS = rf"actual rows={NUMBER} loops={NUMBER}"
-PREDICTED = rf"p-time={NUMBER} p-rows={NUMBER}"
+_DECIMAL = r"(\d+(?:\.\d*)?|\.\d+)"
+# What stands in parentheses behind a node (the input's format): the words are fixed, numbers are read by _DECIMAL.
+COST = rf"\(cost={_DECIMAL}\.\.{_DECIMAL} rows={_DECIMAL} width=(\d+)\)"
+ANY_COST = r"\(cost=\.\*.*?\)"
+TIMES = rf"actual time={_DECIMAL}\.\.{_DECIMAL} rows={_DECIMAL} loops={_DECIMAL}"
+ROWS = rf"actual rows={_DECIMAL} loops={_DECIMAL}"
+PREDICTED = rf"p-time={_DECIMAL} p-rows={_DECIMAL}"
 NOT_RUN = r"Actual time: (never executed|unknown)"
 LABEL = r"^([\p{L}\p{N} _\-/.]+):(.*)$"
 
@@ -118,9 +119,9 @@ _TYPED = {
     "hash_memory": f"nullif(regexp_extract({last('Buckets')}, 'Memory Usage: ([^ ]+)', 1), '')",
     "partitions": last("Selected Partitions"),
 }
-#: A node's parent and all nodes above it, nearest first, among the plan's nodes before it.
-_ANCESTORS = """aggregate(reverse(slice(ns, 1, n.ord)), named_struct('m', n.e, 'a', cast(array() as array<int>)),
-    (acc, x) -> if(x.e < acc.m, named_struct('m', x.e, 'a', concat(acc.a, array(x.ord))), acc), acc -> acc.a)"""
+#: For each node the places of all nodes above it, nearest first, among the plan's nodes before it; es: their indents.
+_ANCESTORS = """transform(es, (e, i) -> aggregate(reverse(sequence(0, i)), named_struct('m', e, 'a', cast(array() as array<int>)),
+    (acc, j) -> if(es[j] < acc.m, named_struct('m', es[j], 'a', concat(acc.a, array(j))), acc), acc -> acc.a))"""
 
 
 def widened(plans: DataFrame, *more: str) -> DataFrame:
@@ -132,10 +133,37 @@ def widened(plans: DataFrame, *more: str) -> DataFrame:
 def parse(plans: DataFrame) -> DataFrame:
     """One row a plan with nodes: plan_id, total_runtime, peak_memory, ns (nodes in order of lines).
 
-    A plan without a node gives no row (the callers' parse_status); lines before the first node belong to none.
+    A text with several plans counts for its first one: what follows a summary line or a rule line behind the first node, from the next header
+    or the next node without an indent on, is left out (``parse_each`` takes all). A plan without a node gives no row (see ``parse_status``);
+    lines before the first node belong to none.
     """
+    return _parsed(_blocks(lines(plans)).where("block <= 1").drop("block"))
+
+
+def parse_each(plans: DataFrame) -> DataFrame:
+    """As ``parse``, but a row for every plan of a text: plan_id is a struct of the text's plan_id and the plan's number, from 1."""
+    return _parsed(_blocks(lines(plans)).withColumn("plan_id", F.struct("plan_id", F.greatest("block", F.lit(1)).alias("number"))).drop("block"))
+
+
+def parse_status(plans: DataFrame) -> DataFrame:
+    """plan_id and status (ok, empty, no plan) of every text."""
+    found = lines(plans).groupBy("plan_id").agg(F.count_if(F.col("kind") == "node").alias("n"), F.count_if(F.col("kind") != "blank").alias("full"))
+    return found.select("plan_id", F.when(F.col("n") > 0, "ok").when(F.col("full") == 0, "empty").otherwise("no plan").alias("status"))
+
+
+def _blocks(told: DataFrame) -> DataFrame:
+    """Adds block, the number of the plan in its text, from 1 (0 before the first): a header starts one, and so does a node that isn't a child."""
     w = Window.partitionBy("plan_id").orderBy("line_no")
-    numbered = lines(plans).withColumn("node_no", F.sum(F.when(F.col("kind") == "node", 1).otherwise(0)).over(w))
+    root = (F.col("kind") == "node") & ~F.col("trimmed").startswith("->") & ~F.col("trimmed").rlike(r"^\d+ --")
+    opens = F.when(F.col("kind") == "header", "h").when(root & (F.col("indent") <= 1), "n")
+    last = F.last(opens, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # a node opens a plan unless a header has just done so
+    return told.withColumn("block", F.sum(F.when((opens == "h") | ((opens == "n") & F.coalesce(last == "n", F.lit(True))), 1).otherwise(0)).over(w))
+
+
+def _parsed(told: DataFrame) -> DataFrame:
+    w = Window.partitionBy("plan_id").orderBy("line_no")
+    numbered = told.withColumn("node_no", F.sum(F.when(F.col("kind") == "node", 1).otherwise(0)).over(w))
     kept = numbered.where("kind in ('node', 'property', 'summary')")
     prop = F.when(F.col("kind") == "property", F.struct("line_no", "label", "value"))
     told = F.when(F.col("kind") == "summary", F.struct("line_no", "label", "value"))
@@ -151,8 +179,8 @@ def parse(plans: DataFrame) -> DataFrame:
     typed = typed.withColumn("e", F.when(F.col("ord") == 0, -1).otherwise(F.col("indent"))).drop("node_no")
     fields = ["ord", *[c for c in typed.columns if c not in ("plan_id", "ord")]]
     whole = typed.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("ns"))
-    whole = widened(whole, f"{_ANCESTORS} AS ancestors")
-    whole = widened(whole, "try_element_at(n.ancestors, 1) AS parent", "size(n.ancestors) + 1 AS depth")
+    whole = whole.withColumn("es", F.expr("transform(ns, n -> n.e)")).withColumn("up", F.expr(_ANCESTORS))
+    whole = widened(whole, "up[n.ord] AS ancestors", "get(up[n.ord], 0) AS parent", "size(up[n.ord]) + 1 AS depth").drop("es", "up")
     facts = groups.groupBy("plan_id").agg(F.flatten(F.collect_list("summary")).alias("s"))
 
     def value(label):
@@ -163,8 +191,15 @@ def parse(plans: DataFrame) -> DataFrame:
     return whole.join(told, "plan_id")
 
 
-def nodes(parsed: DataFrame) -> DataFrame:
-    """A row a node with kids, sub (all below) and above (all above, nearest first)."""
-    kids, sub, above = "filter(ns, k -> k.parent = n.ord)", "filter(ns, d -> array_contains(d.ancestors, n.ord))", "transform(n.ancestors, a -> ns[a])"
-    wide = parsed.select("plan_id", F.explode("ns").alias("n"), "ns")
-    return wide.select("plan_id", "n.*", *[F.expr(x).alias(name) for x, name in ((kids, "kids"), (sub, "sub"), (above, "above"))])
+#: What a node tells the nodes around it.
+_THIN = ("ord", "parent", "ancestors")
+
+
+def nodes(parsed: DataFrame, *told: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row a node with kids, sub (all below) and above (all above, nearest first), of which each has ord, parent, ancestors and what ``told`` names
+    (fields or expressions over a node n). keep: columns of the plan to carry."""
+    thin = ", ".join([f"n.{x} AS {x}" for x in _THIN] + list(told))
+    p = parsed.select("plan_id", "ns", *keep, F.expr(f"transform(ns, n -> struct({thin}))").alias("thin"))
+    around = """transform(thin, n -> struct(filter(thin, k -> k.parent = n.ord) AS kids, filter(thin, d -> array_contains(d.ancestors, n.ord)) AS sub,
+        transform(n.ancestors, a -> thin[a]) AS above))"""
+    return p.select("plan_id", *keep, F.explode(F.arrays_zip("ns", F.expr(around).alias("around"))).alias("x")).select("plan_id", *keep, "x.ns.*", "x.around.*")

@@ -75,7 +75,6 @@ def plan_stats(spark, sf_dir):
 _ABOVE = "EXISTS (SELECT 1 FROM cl JOIN n a ON a.plan_id = cl.plan_id AND a.ord = cl.anc WHERE cl.plan_id = d.plan_id AND cl.ord = d.ord AND a.node_type IN ({}))"
 _BELOW = "EXISTS (SELECT 1 FROM cl JOIN n b ON b.plan_id = cl.plan_id AND b.ord = cl.ord WHERE cl.plan_id = d.plan_id AND cl.anc = d.ord AND {})"
 _KID = "EXISTS (SELECT 1 FROM d k WHERE k.plan_id = d.plan_id AND k.parent = d.ord AND {})"
-_NTH = "(SELECT {} FROM (SELECT k.*, row_number() OVER (ORDER BY k.ord) - 1 AS i FROM d k WHERE k.plan_id = d.plan_id AND k.parent = d.ord) AS k WHERE i = {})"
 _FIRST = "(SELECT arg_min({0}, ord) FROM d k WHERE k.plan_id = d.plan_id AND k.parent = d.ord)"
 _SORTS, _STREAMS = "'Sort', 'VectorSort'", "'Streaming', 'VectorStreaming'"
 _SUB = "filter LIKE '%SubPlan%'"
@@ -109,7 +108,7 @@ _NODE_RULES = {
     "ANTI-005": "node_type = 'Materialize' AND (SELECT m.node_type = 'Materialize' AND (SELECT arg_min(x.node_type, x.ord) FROM d x WHERE x.plan_id = m.plan_id AND x.parent = m.ord) IN ('NestedLoop', 'VectorNestLoop') FROM d m WHERE m.plan_id = d.plan_id AND m.ord = (SELECT min(k.ord) FROM d k WHERE k.plan_id = d.plan_id AND k.parent = d.ord))",
     "ANTI-007": f"node_type IN ({_SORTS}) AND act_rows >= 100000 AND EXISTS (SELECT 1 FROM cl JOIN n a ON a.plan_id = cl.plan_id AND a.ord = cl.anc WHERE cl.plan_id = d.plan_id AND cl.ord = d.ord AND a.streaming = 'Gather')",
     "ANTI-008": f"node_type IN ('NestedLoop', 'VectorNestLoop') AND act_rows >= 100000 AND (SELECT arg_min(coalesce(k.act_rows, -1), k.ord) FROM d k WHERE k.plan_id = d.plan_id AND k.parent = d.ord AND k.node_type IN ({_SORTS}) AND (k.act_rows IS NULL OR k.act_rows >= 100000)) >= 100000",
-    "ANTI-009": f"node_type = 'HashJoin' AND {_NTH.format('act_rows', 1)} / greatest({_NTH.format('act_rows', 0)}, 1.0) > 5 AND {_NTH.format('act_rows', 0)} IS NOT NULL",
+    "ANTI-009": "node_type = 'HashJoin' AND (plan_id, ord) IN (SELECT (plan_id, parent) FROM (SELECT plan_id, parent, act_rows, lag(act_rows) OVER w AS before, row_number() OVER w AS i FROM d WINDOW w AS (PARTITION BY plan_id, parent ORDER BY ord)) AS k WHERE i = 2 AND before IS NOT NULL AND act_rows / greatest(before, 1.0) > 5)",
     "ANTI-010": "node_type = 'Unique' AND " + _ABOVE.format("'Unique'"),
     "ANTI-011": "node_type = 'IndexScan' AND heap_fetches > 10000",
     "ANTI-012": f"node_type IN ('HashAggregate', 'GroupAggregate') AND (SELECT count(*) FROM cl JOIN n a ON a.plan_id = cl.plan_id AND a.ord = cl.anc WHERE cl.plan_id = d.plan_id AND cl.ord = d.ord AND a.node_type IN ({_STREAMS})) > 1",
@@ -252,8 +251,7 @@ SELECT plan_id, arg_min(node_type, ord) AS root_op, arg_min(total_cost, ord) AS
     CAST(coalesce(any_value(c0), 0) AS BIGINT) AS critical_count, CAST(coalesce(any_value(c1), 0) AS BIGINT) AS warning_count FROM d LEFT JOIN c USING (plan_id) GROUP BY plan_id"""
 )
 def summary_row(spark, sf_dir):
-    p = _parsed(spark, sf_dir)
-    s = analytics.summary(p, rules.findings(p))
+    s = analytics.summary(_parsed(spark, sf_dir))
     minus = {c: F.coalesce(c, F.lit(-1.0)) for c in ("spill_kb", "peak_memory_kb", "max_filter_removed")} | {"worst_est_ratio": F.round(F.coalesce("worst_est_ratio", F.lit(-1.0)), 6)}
     return s.withColumns(minus).select("plan_id", "root_op", "total_cost", "total_time_ms", "node_count", "plan_depth", "worst_est_ratio", "spill_kb", "peak_memory_kb", "pushdown", "max_filter_removed", "critical_count", "warning_count")
 
@@ -271,7 +269,34 @@ def session_templates(spark, sf_dir):
     return analytics.template_groups(e, "user_id", "event_type", "value").select("user_id", "event_type", "runs", F.round("total", 4).alias("total"), "least", "most", F.round("degradation", 6).alias("degradation"))
 
 
-@query()
+@query(
+    _N
+    + """, c AS (SELECT plan_id, string_agg(concat_ws('|', node_type, coalesce(streaming, ''), coalesce(relation, ''), coalesce(filter, ''), coalesce(sort_key, ''), CASE WHEN k IN (2, 3) THEN 'i' WHEN k IN (8, 9) THEN 'j' ELSE '' END), chr(10) ORDER BY ord) AS shape FROM n GROUP BY 1)
+SELECT CAST(n AS BIGINT) AS plans, CAST(count(*) AS BIGINT) AS shapes FROM (SELECT count(*) AS n FROM c GROUP BY shape) GROUP BY 1"""
+)
 def plan_fingerprints(spark, sf_dir):
-    """Groups of plans of the same shape that occur more than once."""
-    return analytics.fingerprints(_parsed(spark, sf_dir)).groupBy("fingerprint").agg(F.count("*").alias("plans")).where("plans > 1")
+    """How many shapes of plans occur how often."""
+    shapes = analytics.fingerprints(_parsed(spark, sf_dir)).groupBy("fingerprint").agg(F.count("*").alias("plans"))
+    return shapes.groupBy("plans").agg(F.count("*").alias("shapes"))
+
+
+_SAID = {
+    "SCAN-005": "relation",
+    "MEM-001": "sort_key",
+    "EST-001": "CAST(CAST(act_rows AS BIGINT) AS VARCHAR)",
+    "JOIN-002": "CAST(hash_batches AS VARCHAR)",
+    "SKEW-001": "CAST(CAST(plan_rows AS BIGINT) AS VARCHAR)",
+    "TYPE-001": "'status'",
+}
+
+
+@query(_FOUND + " SELECT f.plan_id, f.ord, rule_id, CASE rule_id " + " ".join(f"WHEN '{i}' THEN {w}" for i, w in _SAID.items()) + " END AS told, relation, act_rows AS rows, plan_rows AS estimated FROM f JOIN d ON f.plan_id = d.plan_id AND f.ord = d.ord WHERE rule_id IN (" + ", ".join(f"'{i}'" for i in _SAID) + ")")
+def findings_told(spark, sf_dir):
+    """A figure or name out of the sentences of some rules, and their evidence."""
+    f = rules.findings(_parsed(spark, sf_dir)).where(F.col("rule_id").isin(*_SAID))
+    patterns = {"SCAN-005": "on (\\S+) returns", "MEM-001": "sort by (\\S+) used", "EST-001": "^(\\d+) rows", "JOIN-002": "took (\\d+) batches", "SKEW-001": "where (\\d+) were", "TYPE-001": "[.](\\S+) in"}
+    told = F.lit(None).cast("string")
+    for rule_id, pattern in patterns.items():
+        told = F.when(F.col("rule_id") == rule_id, F.regexp_extract("detail", pattern, 1)).otherwise(told)
+    e = F.col("evidence")[0]
+    return f.select("plan_id", "ord", "rule_id", told.alias("told"), "relation", e["rows"].alias("rows"), e["estimated"].alias("estimated"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def plan_stream(spark: SparkSession, folder: str) -> DataFrame:
     """plan_id, explain_text of text files as they arrive."""
-    return spark.readStream.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("plan_id"), F.col("value").alias("explain_text"))
+    return spark.readStream.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("plan_id"), F.col("value").alias("explain_text"))
 
 
 def stream_findings(plans: DataFrame, write, checkpoint: str):
