@@ -1,5 +1,5 @@
 """One query for every family of physical operators that plans name."""
 
-from plansmith.operators import aggregates, dml, exchanges, joins, scans, sets, windows
+from plansmith.operators import aggregates, dml, exchanges, joins, scans, sets, stored, windows
 
-__all__ = ["aggregates", "dml", "exchanges", "joins", "scans", "sets", "windows"]
+__all__ = ["aggregates", "dml", "exchanges", "joins", "scans", "sets", "stored", "windows"]

@@ -46,6 +46,33 @@ def part_broadcast(large: DataFrame, small: DataFrame, key: str, hot: list) -> D
     return large.where(is_hot).join(sized(small.where(is_hot)), key).unionByName(large.where(~is_hot | F.col(key).isNull()).join(small.where(~is_hot), key))
 
 
+def split_broadcast(large: DataFrame, small: DataFrame, key: str, parts: int = 4) -> DataFrame:
+    """SplitBroadcast: the small side goes out in parts of its keys, one broadcast each, so that none holds it whole; each meets the rows of its keys."""
+    part = lambda df: F.pmod(F.xxhash64(df[key]), F.lit(parts))
+    out = None
+    for i in range(parts):
+        own = large.where(part(large) == i).join(sized(small.where(part(small) == i)), key)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def part_roundrobin(df: DataFrame, key: str, hot: list, n: int = 8) -> DataFrame:
+    """PartRedistributePartRoundrobin: rows of hot keys are spread evenly, the others go by key."""
+    return df.withColumn("salt", F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*df.columns), F.lit(n))).otherwise(F.lit(0))).repartition(key, "salt")
+
+
+def part_local(df: DataFrame, key: str, hot: list) -> DataFrame:
+    """PartRedistributePartLocal: rows of hot keys stay where they are (to be added up there first), the others go by key."""
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return df.where(is_hot).unionByName(df.where(~is_hot).repartition(key))
+
+
+def part_local_broadcast(large: DataFrame, small: DataFrame, key: str, hot: list) -> DataFrame:
+    """PartLocalPartBroadcast: the large side stays where it is; of the small side hot keys are broadcast, the others too if their size allows."""
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return large.where(is_hot).join(F.broadcast(small.where(is_hot)), key).unionByName(large.where(~is_hot).join(sized(small.where(~is_hot)), key))
+
+
 _N = "SELECT {k} AS k, CAST(count(*) AS BIGINT) AS n FROM {t} GROUP BY 1"
 
 
@@ -102,3 +129,27 @@ def stream_broadcast(spark, sf_dir):
 def stream_gather(spark, sf_dir):
     """Gather: one partition, for a result of a fixed size."""
     return table(spark, sf_dir, "region").select("r_regionkey").coalesce(1)
+
+
+@query("SELECT s_nationkey AS k, CAST(count(*) AS BIGINT) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
+def stream_split_broadcast(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k0"), "s_nationkey")
+    return _count(split_broadcast(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k0")), s, "k0"), "s_nationkey")
+
+
+@query(_N.format(k="l_suppkey", t="lineitem"))
+def stream_part_roundrobin(spark, sf_dir):
+    """Sums by key and salt, then by key."""
+    l = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey")
+    return part_roundrobin(l, "l_suppkey", [1, 2, 3]).groupBy("l_suppkey", "salt").agg(F.count("*").alias("n")).groupBy(F.col("l_suppkey").alias("k")).agg(F.sum("n").alias("n"))
+
+
+@query(_N.format(k="l_suppkey", t="lineitem"))
+def stream_part_local(spark, sf_dir):
+    return _count(part_local(table(spark, sf_dir, "lineitem").select("l_suppkey"), "l_suppkey", [1, 2, 3]), "l_suppkey")
+
+
+@query("SELECT s_nationkey AS k, CAST(count(*) AS BIGINT) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
+def stream_part_local_broadcast(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k0"), "s_nationkey")
+    return _count(part_local_broadcast(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k0")), s, "k0", [1, 2, 3]), "s_nationkey")

@@ -55,9 +55,6 @@ def _on() -> Column:
     return F.col("o_custkey") == F.col("c_custkey")
 
 
-_SOME = "SELECT coalesce(o_orderkey, -1) AS o_orderkey, c_mktsegment FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0) {} (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey"
-
-
 @query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def join_inner(spark, sf_dir):
     """HashJoin: the optimizer chooses by size."""
@@ -65,26 +62,6 @@ def join_inner(spark, sf_dir):
     return j.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
-def _some(spark, sf_dir, how):
-    o = _orders(spark, sf_dir).where("o_orderkey % 3 = 0")
-    return o.join(_customers(spark, sf_dir).where("c_custkey % 2 = 0"), _on(), how).select(F.coalesce("o_orderkey", F.lit(-1)).alias("o_orderkey"), "c_mktsegment")
-
-
-@query(_SOME.format("LEFT JOIN"))
-def join_left(spark, sf_dir):
-    return _some(spark, sf_dir, "left")
-
-
-@query(_SOME.format("RIGHT JOIN"))
-def join_right(spark, sf_dir):
-    return _some(spark, sf_dir, "right")
-
-
-@query(_SOME.format("FULL JOIN"))
-def join_full(spark, sf_dir):
-    return _some(spark, sf_dir, "full")
-
-
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def join_semi(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 200000"), _on(), "left_semi").select("c_custkey")
@@ -106,13 +83,6 @@ def join_right_anti(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").where("c_acctbal > 0"), _on(), "left_anti").select("o_orderkey")
 
 
-@query("SELECT coalesce(o_orderkey, -1) AS o_orderkey, coalesce(c_custkey, -1) AS c_custkey FROM (SELECT * FROM orders WHERE o_orderkey % 5 = 0) FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON o_custkey = c_custkey WHERE o_orderkey IS NULL OR c_custkey IS NULL")
-def join_anti_full(spark, sf_dir):
-    """LeftAntiFull / RightAntiFull: what neither side finds in the other."""
-    o, c = _orders(spark, sf_dir).where("o_orderkey % 5 = 0"), _customers(spark, sf_dir).where("c_custkey % 3 = 0")
-    return o.join(c, _on(), "full").where("o_orderkey is null or c_custkey is null").selectExpr("coalesce(o_orderkey, -1L) AS o_orderkey", "coalesce(c_custkey, -1L) AS c_custkey")
-
-
 _WHOLE = "SELECT coalesce(o_orderkey, -1) AS o_orderkey, c_mktsegment FROM orders {} customer ON o_custkey = c_custkey AND c_acctbal > 0"
 
 

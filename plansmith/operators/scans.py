@@ -138,15 +138,9 @@ def ann_topk(spark, sf_dir):
 
 @query("SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1")
 def scan_cached(spark, sf_dir):
-    """ImCStoreScan: what a cached table answers; the column's own batches are pruned by their statistics."""
-    return table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp'1998-01-01'").groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS i FROM lineitem WHERE l_orderkey < 100")
-def partition_iterator(spark, sf_dir):
-    """PartitionIterator: the same step for each partition of the data."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 100").select("l_orderkey", F.row_number().over(w).alias("i"))
+    """ImCStoreScan: a cached table in columns, whose batches are pruned by their statistics; both uses read the cache."""
+    days = table(spark, sf_dir, "lineitem").select("l_shipdate").persist()
+    return days.where("l_shipdate >= timestamp'1998-01-01'").groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS i FROM lineitem")

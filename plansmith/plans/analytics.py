@@ -127,12 +127,21 @@ def _bits(severity: str) -> int:
 COMPARED = ["Filter", "Sort Key", "Merge Sort Key", "Index Cond", "Hash Cond", "Join Filter", "Merge Cond", "Group By Key", "Distribute Key"]
 
 
-def fingerprints(parsed: DataFrame) -> DataFrame:
-    """plan_id, fingerprint: equal for plans of the same nodes, relations and conditions in the same order."""
+#: The same of the corpus's nodes n, in SQL.
+SHAPE_SQL = "string_agg(concat_ws('|', node_type, coalesce(streaming, ''), coalesce(relation, ''), coalesce(filter, ''), coalesce(sort_key, ''), CASE WHEN k IN (2, 3) THEN 'i' WHEN k IN (8, 9) THEN 'j' ELSE '' END), chr(10) ORDER BY ord)"
+
+
+def fingerprint():
+    """Equal for plans of the same nodes, relations and conditions in the same order."""
     labels = ", ".join(f"'{x}'" for x in COMPARED)
     conditions = f"filter(n.props, p -> p.label IN ({labels}))"
     told = f"array_join(transform(ns, n -> concat_ws('|', n.node_type, coalesce(n.streaming, ''), coalesce(n.relation, ''), array_join(transform({conditions}, p -> concat(p.label, '=', p.value)), ';'))), '\\n')"
-    return parsed.select("plan_id", F.sha2(F.expr(told), 256).alias("fingerprint"))
+    return F.sha2(F.expr(told), 256)
+
+
+def fingerprints(parsed: DataFrame) -> DataFrame:
+    """plan_id, fingerprint of each plan."""
+    return parsed.select("plan_id", fingerprint().alias("fingerprint"))
 
 
 def bottlenecks(steps: DataFrame, session: str, runtime: str) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plansmith.plans.rules import ALL
 from plansmith.registry import query, table
 
 #: What each rule calls for: kind and name of the action (fixed values); other rules are logged.
@@ -117,9 +118,18 @@ def converge_decision(spark, sf_dir):
     return decisions(s, "run").select("run", "iteration", "decision")
 
 
-@query("SELECT * FROM (VALUES ('SUBQ-001', 'Rewrite', 'subquery-to-join'), ('TYPE-001', 'Rewrite', 'add-explicit-cast'), ('EST-001', 'RunAnalyze', 'analyze'), ('GEN-001', 'Log', NULL)) AS t(rule_id, action, target)")
+@query(
+    """SELECT rule_id, CASE WHEN rule_id IN ('SUBQ-001', 'REW-001', 'SUBQ-006', 'TYPE-001', 'TYPE-004', 'AGG-001') THEN 'Rewrite' WHEN rule_id IN ('SCAN-001', 'SCAN-004', 'JOIN-001') THEN 'DdlAdvice'
+        WHEN rule_id IN ('MEM-001', 'MEM-004', 'JOIN-002', 'AGG-002') THEN 'ConfigAdvice' WHEN rule_id IN ('STATS-001', 'EST-001', 'EST-004') THEN 'RunAnalyze' ELSE 'Log' END AS action,
+    CASE WHEN rule_id IN ('SUBQ-001', 'REW-001', 'SUBQ-006') THEN 'subquery-to-join' WHEN rule_id = 'TYPE-001' THEN 'add-explicit-cast' WHEN rule_id = 'TYPE-004' THEN 'suggest-trgm-index'
+        WHEN rule_id = 'AGG-001' THEN 'rewrite-group-agg' WHEN rule_id IN ('SCAN-001', 'SCAN-004', 'JOIN-001') THEN 'index' WHEN rule_id IN ('MEM-001', 'MEM-004', 'JOIN-002', 'AGG-002') THEN 'work_mem'
+        WHEN rule_id IN ('STATS-001', 'EST-001', 'EST-004') THEN 'analyze' END AS target FROM (SELECT unnest(["""
+    + ", ".join(f"'{r.id}'" for r in ALL)
+    + "]) AS rule_id)"
+)
 def map_diagnostics(spark, sf_dir):
-    return map_diagnostic(spark.createDataFrame([("SUBQ-001",), ("TYPE-001",), ("EST-001",), ("GEN-001",)], "rule_id string"))
+    """What each of all rules calls for."""
+    return map_diagnostic(spark.createDataFrame([(r.id,) for r in ALL], "rule_id string"))
 
 
 @query("(SELECT o_custkey, 'left' AS side FROM orders WHERE o_totalprice > 300000 EXCEPT ALL SELECT DISTINCT o_custkey, 'left' FROM orders WHERE o_totalprice > 300000)")

@@ -271,7 +271,7 @@ def session_templates(spark, sf_dir):
 
 @query(
     _N
-    + """, c AS (SELECT plan_id, string_agg(concat_ws('|', node_type, coalesce(streaming, ''), coalesce(relation, ''), coalesce(filter, ''), coalesce(sort_key, ''), CASE WHEN k IN (2, 3) THEN 'i' WHEN k IN (8, 9) THEN 'j' ELSE '' END), chr(10) ORDER BY ord) AS shape FROM n GROUP BY 1)
+    + """, c AS (SELECT plan_id, """ + analytics.SHAPE_SQL + """ AS shape FROM n GROUP BY 1)
 SELECT CAST(n AS BIGINT) AS plans, CAST(count(*) AS BIGINT) AS shapes FROM (SELECT count(*) AS n FROM c GROUP BY shape) GROUP BY 1"""
 )
 def plan_fingerprints(spark, sf_dir):

@@ -23,9 +23,9 @@ def stream_findings(plans: DataFrame, write, checkpoint: str):
 
 def windowed_runtime(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Count and sum by type and window of time; state goes once the watermark has passed a window."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def user_sessions(events: DataFrame, gap: str = "4 hours", late: str = "1 day") -> DataFrame:
     """Sessions of users that end after a gap."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))

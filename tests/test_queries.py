@@ -4,10 +4,12 @@ import pytest
 from oracle import DATA, duck, rows_of
 
 import plansmith.functions.procedures
+import plansmith.functions.scores
 import plansmith.functions.sql_text
 import plansmith.operators
 import plansmith.plans.optimizer
 import plansmith.plans.queries
+import plansmith.plans.reports
 import plansmith.plans.rewrite
 import plansmith.sources.plan_files  # noqa: F401
 from plansmith.registry import ORACLE, QUERIES
