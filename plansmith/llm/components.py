@@ -60,9 +60,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(edges.mapInArrow(_contract, "u bigint, v bigint"))
     if not edges.head(1):
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    state = None
+    state, most = None, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        edges = cut(_small(_large(edges)).coalesce(max(1, edges.rdd.getNumPartitions())))
+        edges = cut(_small(_large(edges)).coalesce(most))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -129,7 +129,8 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     prepare(spark)
     rows = df.select(F.col(key).alias("k"), F.col(label).alias("label"), F.col(vector).alias("v"))
     fine = rows.where(_usable("v", "label")).withColumn("group", F.struct("label", F.size("v").alias("size")))
-    same = cut(fine.groupBy("group", "v").agg(F.min("k").alias("rep"), F.count("*").alias("n")))
+    fine = fine.withColumn("name", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(5), "v").alias("b")))  # 128 bits for a vector
+    same = cut(fine.groupBy("group", "v").agg(F.first("name").alias("name"), F.min("k").alias("rep"), F.count("*").alias("n")))
     wanted = same.groupBy("group").agg(F.count("*").alias("n")).withColumn("cells", F.least(F.lit(PIVOTS), F.ceil(F.col("n") / BLOCK)))
     share = same.join(wanted.select("group", "cells", F.col("n").alias("all")), "group")
     sampled = share.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < F.lit(1 << 30) * F.col("cells") / F.col("all"))
@@ -156,7 +157,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(guest, pa.list_(pa.int64()))], [*columns, "cell", "guest"])
 
     columns = ["group", "v", "rep", "n"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in same.schema.fields)
+    fields = ", ".join(f"`{c}` {same.schema[c].dataType.simpleString()}" for c in columns)
     placed = cut(same.select(*columns).mapInArrow(place, fields + ", cell bigint, guest array<bigint>"))
     guests = placed.select("group", F.explode("guest").alias("cell"), "rep", "n", "v")
     size = lambda n: F.ceil(F.count("*") / BLOCK).cast("int").alias(n)
@@ -170,13 +171,14 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     open_ = hosts.where("guests > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("other")).select("group", "cell", F.lit(1).alias("kind"), own.alias("a"), other.alias("b"), F.lit(False).alias("second"), "rep", "n", "v")
     come = guests.join(cells, ["group", "cell"]).withColumn("own", mine(5, "guests")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     come = come.select("group", "cell", F.lit(1).alias("kind"), other.alias("a"), own.alias("b"), F.lit(True).alias("second"), "rep", "n", "v")
-    found = cut(pairs.union(open_).union(come).groupBy("group", "cell", "kind", "a", "b").applyInArrow(_meet(cosine), "rep bigint, links bigint, root bigint"))
+    dealt = pairs.union(open_).union(come).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group", "cell", "kind", "a", "b")  # meetings are small but long
+    found = cut(dealt.groupBy("group", "cell", "kind", "a", "b").applyInArrow(_meet(cosine), "rep bigint, links bigint, root bigint"))
     added = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found, "rep", "root").withColumnRenamed("node", "rep")
-    classes = same.join(added, "rep", "left").join(roots, "rep", "left").select("group", "v", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    classes = same.join(added, "rep", "left").join(roots, "rep", "left").select("group", "name", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     # equal vectors may be a third of all rows: what is known of them goes to SALTS tasks
     salted = classes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    linked = fine.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS))).join(salted, ["group", "v", "salt"]).select("k", "n_links", "component_id")
+    linked = fine.select("group", "name", "k").withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS))).join(salted, ["group", "name", "salt"]).select("k", "n_links", "component_id")
     alone = rows.where(~_usable("v", "label")).select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"))
     return linked.unionByName(alone).select(F.col("k").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("k") == F.col("component_id")).alias("kept"))
 
