@@ -79,17 +79,24 @@ def _contractions(points, first, changed, kind, start, marks) -> None:
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = int(_BASE)
-    inverse = pow(base, -1, 1 << 64)
+_kept: list[np.ndarray] = []
+#: Values for which powers are kept.
+KEPT = 1 << 21
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least n powers of the base and of its inverse."""
+    if _kept and len(_kept[0]) >= n:
+        return _kept
+    base, out = int(_BASE), []
     with np.errstate(over="ignore"):
-        out = []
-        for b in (base, inverse):
-            p = np.full(n, np.uint64(b), np.uint64)
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(max(n, 1 << min(20, n.bit_length())), np.uint64(b), np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    if n <= KEPT:
+        _kept[:] = out
+    return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -102,8 +109,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of values[start:end], the same for the same values anywhere."""
-    size = max(1 << 12, 1 << int(len(values)).bit_length())
-    power, inverse = _powers(size)
+    power, inverse = _powers(len(values) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(values) + 1, np.uint64)
         np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], out=total[1:])
