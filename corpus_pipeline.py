@@ -20,7 +20,7 @@ WORDS, SIMILAR = 5, 80
 
 def _apart(docs: DataFrame) -> DataFrame:
     """The text, and all columns in one, so that their names don't matter to the operators."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("text"))
+    return docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole"), F.col("text"))
 
 
 def _back(df: DataFrame, docs: DataFrame, text: str | None = None) -> DataFrame:
@@ -30,7 +30,7 @@ def _back(df: DataFrame, docs: DataFrame, text: str | None = None) -> DataFrame:
         new["text"] = F.col(text)
         if "n_chars" in docs.columns:
             new["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
-    return df.select(*[(new[c] if c in new else F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])
+    return df.select(*[(new[c] if c in new else F.col(f"whole.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
