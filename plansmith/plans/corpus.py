@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansmith.plans.vocabulary import STREAMING, variant
+from plansmith.storage import new_folder
 
 TYPES = [
     "Seq Scan", "Partitioned Seq Scan", "Index Scan", "Index Only Scan", "CStore Scan", "Bitmap Heap Scan", "Subquery Scan", "Nested Loop", "Hash Join", "Merge Join", "Hash", "Sort", "Vector Sort",
@@ -17,8 +18,8 @@ TYPES = [
     "Update", "Row Adapter", "Limit", "Seq Scan", "Vector Nest Loop",
 ]
 FILTERS = [
-    "(status = '42')", "(name ~~ '%important%'::text)", "(id IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13))", "(hashed SubPlan 1)", "(ts > now())", "(amount > 10)",
-    "(to_char(d, 'YYYY'::text) = '2024'::text)", "((code)::text = '1002'::text)",
+    "(grade = '17')", "(name ~~ '%important%'::text)", "(id IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13))", "(hashed SubPlan 1)", "(ts > now())", "(amount > 10)",
+    "(to_char(d, 'YYYY'::text) = '2024'::text)", "((code)::text = '5120'::text)",
 ]
 #: Numbers of a node, from the line's columns (whole numbers in both engines).
 NUMBERS = {
@@ -80,6 +81,19 @@ def plan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("plan_id", F.concat(F.lit("QUERY PLAN\n-----\n"), F.array_join("x.b", "\n"), F.lit("\nTotal runtime: "), F.expr("plan_id % 900"), F.lit(".5 ms")).alias("explain_text"))
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once for each session and folder of tables, and read again."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stored:
+        folder = new_folder(spark, "plans")
+        plan_texts(spark, sf_dir).write.parquet(folder)
+        _stored[key] = folder
+    return spark.read.parquet(_stored[key])
+
+
 _TYPE_SQL = _pick([variant(t.split("(")[0]) for t in TYPES], "k")
 _STREAM_SQL = "CASE k " + " ".join(f"WHEN {i} THEN '{STREAMING[t.split(': ')[1][:-1]]}'" for i, t in enumerate(TYPES) if "(" in t) + " END"
 _SCAN_NOS = ", ".join(str(i) for i, t in enumerate(TYPES) if t.endswith("Scan") and not t.startswith("Subquery") or t == "Update")

@@ -11,7 +11,7 @@ _N = corpus.NODES_SQL
 
 
 def _parsed(spark, sf_dir):
-    return parser.parse(corpus.plan_texts(spark, sf_dir))
+    return parser.parse(corpus.stored_texts(spark, sf_dir))
 
 
 @query(_N + "SELECT plan_id, ord, node_type, total_cost, plan_rows FROM n")
@@ -46,7 +46,7 @@ def parse_summary(spark, sf_dir):
 
 @query("SELECT kind, CAST(n AS BIGINT) AS n FROM (SELECT 'node' AS kind, count(*) AS n FROM lineitem UNION ALL SELECT unnest(['header', 'separator', 'summary']), (SELECT count(DISTINCT l_orderkey) FROM lineitem))")
 def classify_lines(spark, sf_dir):
-    return parser.lines(corpus.plan_texts(spark, sf_dir)).where("kind <> 'property'").groupBy("kind").agg(F.count("*").alias("n"))
+    return parser.lines(corpus.stored_texts(spark, sf_dir)).where("kind <> 'property'").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(_N + "SELECT plan_id, ord, coalesce(parent, -1) AS parent, depth FROM d")
@@ -93,7 +93,7 @@ _NODE_RULES = {
     "EST-004": "node_type = 'NestedLoop' AND act_rows > 0 AND act_rows / plan_rows > 100",
     "PUSH-001": "node_type = 'Streaming' AND streaming IN ('Redistribute', 'Broadcast')",
     "PUSH-002": f"node_type IN ({_STREAMS}) AND " + _BELOW.format(f"b.node_type IN ({_STREAMS})"),
-    "TYPE-001": "node_type = 'SeqScan' AND filter = '(status = ''42'')' AND removed > 10 AND removed / (removed + coalesce(act_rows, 0)) > 0.5",
+    "TYPE-001": "node_type = 'SeqScan' AND filter = '(grade = ''17'')' AND removed > 10 AND removed / (removed + coalesce(act_rows, 0)) > 0.5",
     "TYPE-004": "filter LIKE '%~~ ''\\%%' ESCAPE '\\'",
     "SUBQ-001": f"node_type = 'SubqueryScan' OR ({_SUB} AND NOT " + _ABOVE.format("'SubqueryScan'") + ")",
     "REW-001": "filter LIKE '%IN (%'",
@@ -286,7 +286,7 @@ _SAID = {
     "EST-001": "CAST(CAST(act_rows AS BIGINT) AS VARCHAR)",
     "JOIN-002": "CAST(hash_batches AS VARCHAR)",
     "SKEW-001": "CAST(CAST(plan_rows AS BIGINT) AS VARCHAR)",
-    "TYPE-001": "'status'",
+    "TYPE-001": "'grade'",
 }
 
 

@@ -22,16 +22,18 @@ OTHERS = [
     "Partition Iterator", "Vector Partition Iterator", "Row Adapter", "Vector Adapter", "StartWith Op", "Remote Subplan Scan", "ModifyTable", "Gather", "Gather Merge",
 ]
 VARIANTS = {"CTE Scan": "CteScan", "ANN Index Scan": "AnnIndexScan", "StartWith Op": "StartWithOp", "HashSetOp": "HashSetOp", "Vector HashSetOp": "VectorHashSetOp"}
-#: Recognised as nodes, but of no known variant.
+#: Recognised as nodes, but of no known variant (fixed values).
 UNKNOWN_NODES = ["Partitioned Tid Scan", "Partial Hash Aggregate", "Vector Merge Append", "Vec Result", "Remote Query", "Merge Into"]
+# Kinds of movement as plans print them.
 STREAMING = {
     "GATHER": "Gather", "REDISTRIBUTE": "Redistribute", "BROADCAST": "Broadcast", "LOCAL REDISTRIBUTE": "LocalRedistribute", "LOCAL BROADCAST": "LocalBroadcast", "LOCAL GATHER": "LocalGather",
     "LOCAL ROUNDROBIN": "LocalRoundrobin", "SPLIT REDISTRIBUTE": "SplitRedistribute", "SPLIT BROADCAST": "SplitBroadcast", "RANGE REDISTRIBUTE": "RangeRedistribute",
     "LIST REDISTRIBUTE": "ListRedistribute", "HYBRID": "Hybrid", "PART REDISTRIBUTE PART BROADCAST": "PartRedistributePartBroadcast",
     "PART REDISTRIBUTE PART ROUNDROBIN": "PartRedistributePartRoundrobin", "PART REDISTRIBUTE PART LOCAL": "PartRedistributePartLocal", "PART LOCAL PART BROADCAST": "PartLocalPartBroadcast",
 }
-#: In the order in which they are looked for.
+#: In the order in which they are looked for (fixed values).
 JOIN_TYPES = ["Left Anti Full", "Right Anti Full", "Left Anti Semi Not In", "Left", "Right", "Full", "Inner", "Semi", "Anti", "Right Semi", "Right Anti"]
+#: Labels of summary lines (fixed values).
 SUMMARY_LABELS = ["Total runtime", "Peak Memory", "Planner runtime", "Plan size", "Query Id", "Executor Start", "Executor Run", "Executor End", "Total Network"]
 
 CATEGORIES = {"Scan": SCANS, "Join": JOINS, "Aggregate": AGGREGATES, "Sort": SORTS, "SetOp": SET_OPERATIONS, "Dml": CHANGES, "Other": OTHERS}

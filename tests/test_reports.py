@@ -35,10 +35,10 @@ def found(spark):
     [
         ("large_loop", "SCAN-001", ["big", "40000"], "big", []),
         ("large_loop", "JOIN-001", ["40000", "loops"], "big", []),
-        ("cast", "SCAN-004", ["Filter", "900"], "t", ["status"]),
-        ("cast", "TYPE-001", ["status = '42'", "implicit type cast"], "t", ["status"]),
-        ("spill", "JOIN-002", ["5 batches"], "b", []),
-        ("spill", "MEM-004", ["512000"], None, []),
+        ("cast", "SCAN-004", ["Filter", "900"], "t", ["grade"]),
+        ("cast", "TYPE-001", ["grade = '17'", "implicit type cast"], "t", ["grade"]),
+        ("spill", "JOIN-002", ["6 batches"], "b", []),
+        ("spill", "MEM-004", ["430000"], None, []),
         ("external_sort", "MEM-001", ["external", "by k"], "ev", []),
         ("broadcast", "NET-001", ["77000", "Broadcast"], "dim", []),
         ("layers", "PUSH-001", ["Streaming", "pushed down"], "f", []),
@@ -59,7 +59,7 @@ def test_messages(found, plan, rule, words, table, columns):
 
 def test_hints_and_evidence(found):
     h = rules.hints(found.where("plan_id = 'cast' and rule_id = 'TYPE-001'")).head()
-    assert (h["table"], h["columns"], h["severity"]) == ("t", ["status"], "critical")
+    assert (h["table"], h["columns"], h["severity"]) == ("t", ["grade"], "critical")
     (e,) = found.where("plan_id = 'estimate' and rule_id = 'EST-001'").head()["evidence"]
     assert (e["line"], e["node_type"], e["rows"], e["estimated"], e["confidence"]) == (1, "SeqScan", 81000.0, 40.0, 1.0)
     assert len(found.where("rule_id = 'VEC-001'").head()["evidence"]) == 2
@@ -96,7 +96,7 @@ def test_fingerprints_look_at_merge_keys(spark):
 
 
 def test_column_of_a_filter(spark):
-    cases = {"(status = '42')": "status", "((code)::text = '1'::text)": "code", "((a >= 5) AND (b = 'x'))": "b", "(a = b)": None, "((a = b) AND (c = 7))": "c", "((p)::numeric = '3')": "p", "(f(x) = 3)": "x", "plain": None}
+    cases = {"(grade = '17')": "grade", "((code)::text = '1'::text)": "code", "((a >= 5) AND (b = 'x'))": "b", "(a = b)": None, "((a = b) AND (c = 7))": "c", "((p)::numeric = '3')": "p", "(f(x) = 3)": "x", "plain": None}
     d = spark.createDataFrame(list(cases.items()), "filter string, want string")
     assert d.withColumn("got", F.expr(rules.COLUMN)).where("not (got <=> want)").collect() == []
 
