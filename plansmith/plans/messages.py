@@ -78,11 +78,11 @@ _EVIDENCE = "struct<pattern: string, confidence: double, line: int, node_type: s
 def _sentence(sentences: dict[str, tuple], lang: int):
     from plansmith.plans.rules import ALL
 
-    out = F.lit(None).cast("string")
-    for i, r in reversed(list(enumerate(ALL))):
+    out = F
+    for i, r in enumerate(ALL):
         if r.id in sentences:
             own = sentences[r.id]
-            out = F.when(F.col("rule_no") == i, F.format_string(own[lang], *[F.expr(x) for x in own[2:]]) if own[2:] else F.lit(own[lang])).otherwise(out)
+            out = out.when(F.col("rule_no") == i, F.format_string(own[lang], *[F.expr(x) for x in own[2:]]) if own[2:] else F.lit(own[lang]))
     return out
 
 
@@ -92,22 +92,34 @@ def _rule_id():
     return F.array(*[F.lit(r.id) for r in ALL])[F.col("rule_no")]
 
 
-def said(found: DataFrame) -> DataFrame:
-    """Rows of nodes with a rule's number: what the finding says."""
-    columns = F.when(_rule_id() == "TYPE-001", F.array("filter_column")).when(_rule_id().isin(*_OF_COLUMNS), F.expr(_COLUMNS)).otherwise(F.expr("cast(array() AS array<string>)"))
-    evidence = F.struct(_rule_id().alias("pattern"), F.lit(1.0).alias("confidence"), F.col("line_no").alias("line"), F.col("node_type").alias("node_type"), F.col("run.rows").alias("rows"), F.col("plan_rows").alias("estimated"), F.col("run.loops").alias("loops"))
-    return found.select(
-        "plan_id", "ord", F.col("line_no").cast("int").alias("node_line"), "node_type", "relation", "rule_no", _sentence(SENTENCES, 0).alias("detail"), _sentence(SENTENCES, 1).alias("detail_zh"),
-        F.expr(_TABLE).alias("table"), columns.alias("columns"), F.array(evidence).cast(f"array<{_EVIDENCE}>").alias("evidence"),
-    )
+#: What a finding about a whole plan says; of a finding about a node only the rule's number is set until ``said`` fills it in.
+FOUND = f"struct<rule_no: int, detail: string, detail_zh: string, evidence: array<{_EVIDENCE}>>"
+
 
+def of_plan(numbers: list[int], mask: str):
+    """An array of FOUND for the bits of a plan's mask, over the plan's row."""
+    from plansmith.plans.rules import ALL
 
-def said_of_plans(found: DataFrame) -> DataFrame:
-    """Rows of plans with a rule's number: what the finding says."""
     adapters = F.expr(f"transform({_ADAPTERS}, n -> struct('VEC-001', 1D, n.line_no, n.node_type, n.run.rows, n.plan_rows, n.run.loops))").cast(f"array<{_EVIDENCE}>")
-    none = F.lit(None)
+    none = F.expr(f"cast(array() AS array<{_EVIDENCE}>)")
+    made = []
+    for i in numbers:
+        en, zh, *args = OF_PLANS[ALL[i].id]
+        said_ = [F.format_string(x, *[F.expr(a) for a in args]) for x in (en, zh)]
+        row = F.struct(F.lit(i).alias("rule_no"), said_[0].alias("detail"), said_[1].alias("detail_zh"), (adapters if ALL[i].id == "VEC-001" else none).alias("evidence"))
+        made.append(F.when(F.col(mask).bitwiseAND(F.lit(1 << i).cast("long")) != 0, row.cast(FOUND)))
+    return F.filter(F.array(*made), lambda x: x.isNotNull()) if made else F.expr(f"cast(array() AS array<{FOUND}>)")
+
+
+def said(found: DataFrame) -> DataFrame:
+    """Rows of nodes with a finding f (FOUND): what it says. Findings about whole plans have no node."""
+    whole = F.col("f.detail").isNotNull()
+    own = lambda c: F.when(~whole, c)
+    none = F.expr("cast(array() AS array<string>)")
+    columns = F.when(whole, none).when(_rule_id() == "TYPE-001", F.array("filter_column")).when(_rule_id().isin(*_OF_COLUMNS), F.expr(_COLUMNS)).otherwise(none)
+    evidence = F.struct(_rule_id().alias("pattern"), F.lit(1.0).alias("confidence"), F.col("line_no").alias("line"), F.col("node_type").alias("node_type"), F.col("run.rows").alias("rows"), F.col("plan_rows").alias("estimated"), F.col("run.loops").alias("loops"))
     return found.select(
-        "plan_id", none.cast("int").alias("ord"), none.cast("int").alias("node_line"), none.cast("string").alias("node_type"), none.cast("string").alias("relation"), "rule_no", _sentence(OF_PLANS, 0).alias("detail"),
-        _sentence(OF_PLANS, 1).alias("detail_zh"), none.cast("string").alias("table"), F.expr("cast(array() AS array<string>)").alias("columns"),
-        F.when(_rule_id() == "VEC-001", adapters).otherwise(F.expr(f"cast(array() AS array<{_EVIDENCE}>)")).alias("evidence"),
+        "plan_id", own(F.col("ord")).alias("ord"), own(F.col("line_no").cast("int")).alias("node_line"), own(F.col("node_type")).alias("node_type"), own(F.col("relation")).alias("relation"), "rule_no",
+        F.coalesce("f.detail", _sentence(SENTENCES, 0)).alias("detail"), F.coalesce("f.detail_zh", _sentence(SENTENCES, 1)).alias("detail_zh"), own(F.expr(_TABLE)).alias("table"), columns.alias("columns"),
+        F.coalesce("f.evidence", F.array(evidence).cast(f"array<{_EVIDENCE}>")).alias("evidence"),
     )

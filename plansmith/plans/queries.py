@@ -295,8 +295,8 @@ def findings_told(spark, sf_dir):
     """A figure or name out of the sentences of some rules, and their evidence."""
     f = rules.findings(_parsed(spark, sf_dir)).where(F.col("rule_id").isin(*_SAID))
     patterns = {"SCAN-005": "on (\\S+) returns", "MEM-001": "sort by (\\S+) used", "EST-001": "^(\\d+) rows", "JOIN-002": "took (\\d+) batches", "SKEW-001": "where (\\d+) were", "TYPE-001": "[.](\\S+) in"}
-    told = F.lit(None).cast("string")
+    told = F
     for rule_id, pattern in patterns.items():
-        told = F.when(F.col("rule_id") == rule_id, F.regexp_extract("detail", pattern, 1)).otherwise(told)
+        told = told.when(F.col("rule_id") == rule_id, F.regexp_extract("detail", pattern, 1))
     e = F.col("evidence")[0]
     return f.select("plan_id", "ord", "rule_id", told.alias("told"), "relation", e["rows"].alias("rows"), e["estimated"].alias("estimated"))

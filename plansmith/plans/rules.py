@@ -135,10 +135,10 @@ _TOLD = (
 
 def _mask(rules: list[tuple[int, Rule]], config: Config):
     """One bit for each rule that holds."""
-    out = F.lit(0).cast("long")
-    for i, r in rules:
-        out = out + F.when(F.expr(r.predicate.format(**config.literals())), F.lit(1 << i).cast("long")).otherwise(0)
-    return out
+    bits = [F.when(F.expr(r.predicate.format(**config.literals())), F.lit(1 << i).cast("long")).otherwise(0) for i, r in rules] or [F.lit(0).cast("long")]
+    while len(bits) > 1:  # a flat tree of sums
+        bits = [bits[k] + bits[k + 1] if k + 1 < len(bits) else bits[k] for k in range(0, len(bits), 2)]
+    return bits[0]
 
 
 def _live(config: Config, of_plan: bool) -> list[tuple[int, Rule]]:
@@ -163,11 +163,13 @@ def findings(parsed: DataFrame, config: Config = Config()) -> DataFrame:  # noqa
     Chinese), table, columns, evidence. Rules about nodes come first, in order of nodes and rules; the order is that of ``ordered``."""
     from plansmith.plans import messages
 
-    bits = lambda mask, of_plan: F.explode(F.expr(f"filter(array({', '.join(str(i) for i, r in enumerate(ALL) if r.of_plan == of_plan)}), i -> (shiftright({mask}, i) & 1) = 1)")).alias("rule_no")
-    wide = masks(parsed, config)
-    of_nodes = messages.said(wide.where("mask <> 0").select("*", bits("mask", False)))
-    of_plans = messages.said_of_plans(parsed.withColumn("plan_mask", _mask(_live(config, True), config)).where("plan_mask <> 0").select("*", bits("plan_mask", True)))
-    return of_nodes.unionByName(of_plans).withColumn("r", _rule(F.col("rule_no"))).select("plan_id", "ord", "node_line", "node_type", "relation", "rule_no", "r.*", *messages.SAID)
+    plan_rules = [i for i, _ in _live(config, True)]
+    p = parsed.withColumn("own_mask", _mask(_live(config, True), config)).withColumn("of_plan", messages.of_plan(plan_rules, "own_mask"))
+    numbers = ", ".join(str(i) for i, _ in _live(config, False)) or "0"
+    of_nodes = f"transform(filter(array({numbers}), i -> (shiftright(mask, i) & 1) = 1), i -> cast(struct(i, NULL, NULL, NULL) AS {messages.FOUND}))"
+    wide = masks(p, config, keep=("of_plan",)).where("mask <> 0 or ord = 0 and size(of_plan) > 0")
+    found = wide.select("*", F.explode(F.expr(f"concat({of_nodes}, if(ord = 0, of_plan, filter(of_plan, x -> false)))")).alias("f")).withColumn("rule_no", F.col("f.rule_no"))
+    return messages.said(found).withColumn("r", _rule(F.col("rule_no"))).select("plan_id", "ord", "node_line", "node_type", "relation", "rule_no", "r.*", *messages.SAID)
 
 
 def hints(found: DataFrame) -> DataFrame:
