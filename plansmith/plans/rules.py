@@ -149,7 +149,8 @@ def masks(parsed: DataFrame, config: Config = Config(), keep: tuple[str, ...] =
     """The rows of nodes (and what ``keep`` names of their plans) with mask, a bit for each rule about nodes that holds, and plan_mask, the same for rules about the plan."""
     p = parsed.withColumn("plan_mask", _mask(_live(config, True), config))
     wide = nodes(p, *_TOLD, keep=("plan_mask", *keep)).withColumn("filter_column", F.expr(COLUMN))
-    return wide.withColumn("mask", _mask(_live(config, False), config))
+    # generated, not projected: the optimizer would write the whole expression out wherever a filter asks for the mask
+    return wide.select("*", F.explode(F.array(_mask(_live(config, False), config))).alias("mask"))
 
 
 def _rule(rule_no):
@@ -168,7 +169,7 @@ def findings(parsed: DataFrame, config: Config = Config()) -> DataFrame:  # noqa
     numbers = ", ".join(str(i) for i, _ in _live(config, False)) or "0"
     of_nodes = f"transform(filter(array({numbers}), i -> (shiftright(mask, i) & 1) = 1), i -> cast(struct(i, NULL, NULL, NULL) AS {messages.FOUND}))"
     wide = masks(p, config, keep=("of_plan",)).where("mask <> 0 or ord = 0 and size(of_plan) > 0")
-    found = wide.select("*", F.explode(F.expr(f"concat({of_nodes}, if(ord = 0, of_plan, filter(of_plan, x -> false)))")).alias("f")).withColumn("rule_no", F.col("f.rule_no"))
+    found = wide.select("*", F.explode_outer(F.expr(f"concat({of_nodes}, if(ord = 0, of_plan, slice(of_plan, 1, 0)))")).alias("f")).where("f IS NOT NULL").withColumn("rule_no", F.col("f.rule_no"))
     return messages.said(found).withColumn("r", _rule(F.col("rule_no"))).select("plan_id", "ord", "node_line", "node_type", "relation", "rule_no", "r.*", *messages.SAID)
 
 
