@@ -8,7 +8,7 @@ A byte goes if a string of ``length`` bytes over it starts anywhere else too. Wh
 2. Corpus order. The windows that are left, a small and highly repetitive part of the text, go through prefix-free parsing: rolling-hash
    triggers cut phrases that overlap by a trigger; the suffix array of the dictionary of different phrases and the suffix array of the parse
    combine into the order of a block's windows. Equal windows are neighbours there: of equal rank, or of equal bytes where what follows
-   the window makes the ranks differ. Each shard sends a 128-bit name for every different window, and buckets answer as before.
+   the window makes the ranks differ. Each shard sends a 112-bit name for every different window, and buckets answer as before.
 3. Each shard marks its repeated windows, joins their spans and cuts them out.
 
 Names only bring windows of different blocks together. Shards and buckets are of bounded size, so both grow with the corpus, and a shard has a
@@ -203,23 +203,29 @@ def _unique(hi: np.ndarray, lo: np.ndarray | None) -> tuple[np.ndarray, np.ndarr
     return order, new
 
 
+def _six(h: np.ndarray) -> bytes:
+    """Whole numbers under 2**48."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _of_six(raw: bytes, at: int = 0) -> np.ndarray:
+    six = np.frombuffer(raw, np.uint8, offset=at).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view(np.uint64).ravel()
+
+
 def _coded(h: np.ndarray) -> bytes:
     """Sorted whole numbers by their differences, six bytes each where they fit."""
     step = np.diff(h, prepend=np.uint64(0))
     big = bool(len(h) > 1 and step[1:].max() >= 1 << 48)
-    return bytes([big]) + h[:1].tobytes() + (step[1:].tobytes() if big else step[1:].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+    return bytes([big]) + h[:1].tobytes() + (step[1:].tobytes() if big else _six(step[1:]))
 
 
 def _decoded(raw: bytes) -> np.ndarray:
     if len(raw) < 9:
         return np.empty(0, np.uint64)
-    if raw[0]:
-        step = np.frombuffer(raw, np.uint64, offset=9)
-    else:
-        six = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, 6)
-        step = np.zeros((len(six), 8), np.uint8)
-        step[:, :6] = six
-        step = step.view(np.uint64).ravel()
+    step = np.frombuffer(raw, np.uint64, offset=9) if raw[0] else _of_six(raw, 9)
     with np.errstate(over="ignore"):
         return np.cumsum(np.append(np.frombuffer(raw, np.uint64, 1, 1), step))
 
@@ -235,7 +241,7 @@ def _packed(shard: int, hi: np.ndarray, lo: np.ndarray | None, twice: np.ndarray
         pa.array([int(bucket[a]) for a, _ in cuts], pa.int32()),
         pa.array([shard] * len(cuts), pa.int32()),
         pa.array([_coded(hi[a:b]) for a, b in cuts], pa.binary()),
-        pa.array([None if lo is None else lo[a:b].tobytes() for a, b in cuts], pa.binary()),
+        pa.array([None if lo is None else _six(lo[a:b]) for a, b in cuts], pa.binary()),
         pa.array([np.packbits(twice[a:b]).tobytes() for a, b in cuts], pa.binary()),
     ]
     return pa.Table.from_arrays(columns, ["bucket", "shard", "hi", "lo", "twice"])
@@ -255,7 +261,7 @@ def _answers(kind: int):
         release()
         parts = [_decoded(x) for x in rows["hi"].to_pylist()]
         hi = np.concatenate(parts)
-        lo = None if rows["lo"].null_count else np.concatenate([np.frombuffer(x, np.uint64) for x in rows["lo"].to_pylist()])
+        lo = None if rows["lo"].null_count else np.concatenate([_of_six(x) for x in rows["lo"].to_pylist()])
         twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(rows["twice"].to_pylist(), parts, strict=True)])
         order, new = _unique(hi, lo)
         first = np.flatnonzero(new)
@@ -290,7 +296,8 @@ class Shard:
         for k, data, ends in blocks(self.texts):
             at, number, keys = anchor_keys(data, ends, self.length)
             left = at[_member(keys, self.repeated)[number]] if len(at) else at
-            yield k, data, ends, left, tuple(Windows(data, f).hashes(left, self.length) if len(left) else np.empty(0, np.uint64) for f in (0, 1))
+            hi, lo = (Windows(data, f).hashes(left, self.length) if len(left) else np.empty(0, np.uint64) for f in (0, 1))
+            yield k, data, ends, left, (hi, lo >> np.uint64(16))
 
     def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Names of the shard's different windows, sorted, and which occur twice in it; by the order of blocks, then between blocks."""
